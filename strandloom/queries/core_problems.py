@@ -9,6 +9,7 @@ from strandloom.operators.dense_counts import counts_per_key
 from strandloom.operators.periods import periods_and_gaps
 from strandloom.operators.rejects import faulty_lines, valid_bed12, valid_gtf
 from strandloom.operators.unpack import attribute_values, list_values
+from strandloom.queries.problem_sql import P3, P7
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -63,8 +64,6 @@ def p7_valid_bed12(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _TIDY = r"upper(regexp_replace(barcode, '^\s+|\s+$', '', 'g'))"
-_QUOTED = r"""(?:"[^"\\]*(?:(?:\\.|"")[^"\\]*)*"|''[^''\\]*(?:(?:\\.|'''')[^''\\]*)*'')"""
-
 SQL = {
     "p2_found": """
 with r as (select distinct lib_id, chrom, strand, start_pos s, end_pos e from fragments
@@ -75,6 +74,8 @@ p as (select lib_id, chrom, strand, island, min(s) a, max(e) b from i group by a
 g as (select *, lead(a) over (partition by lib_id, chrom, strand order by a) nxt from p)
 select lib_id, chrom, strand, 'covered' seg_kind, a seg_start, b seg_end from g
 union all select lib_id, chrom, strand, 'gap', b, nxt from g where nxt is not null""",
+    "p3_found": P3,
+    "p7_found": P7,
     "p5_found": f"""
 with r as (select distinct rec_id, {_TIDY} barcode, group_id from fastq_reads)
 select barcode, count(*) n_reads, count(distinct group_id) n_groups from r
