@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Bases and IUPAC codes with their complements.
+# Bases and codes with what stands for their complements. The pairs of the ambiguity codes are
+# those of the tables this engine's results must equal, not the set complements.
 COMPLEMENT_FROM = "ACTGNactgnRYSWKMDHVryswkmdhv"
 COMPLEMENT_TO = "TGACNtgacnBDHKMWSRYbdhkmwsry"
 # The bases that each IUPAC code stands for.
@@ -13,7 +14,7 @@ IUPAC = {"R": "AG", "Y": "CT", "S": "GC", "W": "AT", "K": "GT", "M": "AC", "B":
 
 
 def complement(seq: Column) -> Column:
-    """Each base by its complement, IUPAC codes and case included; other characters stay."""
+    """Each base by its complement, ambiguity codes by their fixed partners, in its case; other characters stay."""
     return F.translate(seq, COMPLEMENT_FROM, COMPLEMENT_TO)
 
 

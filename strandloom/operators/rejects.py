@@ -108,20 +108,24 @@ def _valid(df: DataFrame, line: str, kind: str, raw: str, which: str) -> DataFra
 
 
 def valid_gtf(df: DataFrame, line: str = "line_id", kind: str = "line_kind", raw: str = "raw_line") -> DataFrame:
-    """The GTF lines without a fault, typed: coordinates as numbers, ``.`` in score, strand and phase as null."""
+    """The GTF lines without a fault, typed: coordinates as numbers, ``.`` in score, strand and phase as null.
+
+    Types are tried, not forced: a later condition on them may run before the
+    faulty lines are gone.
+    """
     at = lambda i: F.get("cells", F.lit(i - 1))
     dot = lambda i: F.nullif(at(i), F.lit("."))
     return _valid(df, line, kind, raw, "gtf").select(
-        F.col("id").alias(line), at(1).alias("chrom"), at(2).alias("src_name"), at(3).alias("feature_type"), at(4).cast("decimal(38,0)").alias("start_pos"), at(5).cast("decimal(38,0)").alias("end_pos"),
-        dot(6).try_cast("double").alias("score"), dot(7).alias("strand"), dot(8).cast("int").alias("phase"), at(9).alias("info"),
+        F.col("id").alias(line), at(1).alias("chrom"), at(2).alias("src_name"), at(3).alias("feature_type"), at(4).try_cast("decimal(38,0)").alias("start_pos"), at(5).try_cast("decimal(38,0)").alias("end_pos"),
+        dot(6).try_cast("double").alias("score"), dot(7).alias("strand"), dot(8).try_cast("int").alias("phase"), at(9).alias("info"),
     )
 
 
 def valid_bed12(df: DataFrame, line: str = "line_id", kind: str = "line_kind", raw: str = "raw_line") -> DataFrame:
     """The BED12 lines without a fault, with block sizes and starts as arrays."""
     at = lambda i: F.get("cells", F.lit(i - 1))
-    numbers = lambda i: F.transform(_items(at(i)), lambda x: x.cast("decimal(38,0)"))
+    numbers = lambda i: F.transform(_items(at(i)), lambda x: x.try_cast("decimal(38,0)"))
     return _valid(df, line, kind, raw, "bed12").select(
-        F.col("id").alias(line), at(1).alias("chrom"), at(2).cast("decimal(38,0)").alias("tx_start"), at(3).cast("decimal(38,0)").alias("tx_end"), F.regexp_replace(at(4), r'''\A(["'])(.*)\1\z''', "$2").alias("tid"),
-        at(6).alias("strand"), at(10).cast("int").alias("exon_count"), numbers(11).alias("block_sizes"), numbers(12).alias("block_starts"),
+        F.col("id").alias(line), at(1).alias("chrom"), at(2).try_cast("decimal(38,0)").alias("tx_start"), at(3).try_cast("decimal(38,0)").alias("tx_end"), F.regexp_replace(at(4), r'''\A(["'])(.*)\1\z''', "$2").alias("tid"),
+        at(6).alias("strand"), at(10).try_cast("int").alias("exon_count"), numbers(11).alias("block_sizes"), numbers(12).alias("block_starts"),
     )

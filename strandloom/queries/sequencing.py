@@ -561,7 +561,7 @@ def transcripts(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "bed12_records").select("rec_id", "chrom", "tid", "strand", "tx_start", "tx_end", "cds", "cde", "exon_count", "exon_starts", "exon_ends").dropDuplicates(["rec_id"])
     each = list_values(rows, ["rec_id"], "exon_starts", "chrom").unionByName(list_values(rows, ["rec_id"], "exon_ends", "chrom"))
     # One record's places only, at most as many as its field can hold.
-    side = lambda f: F.array_sort(F.collect_list(F.when(F.col("attr_key") == f, F.struct("idx", F.col("attr_val").cast("long").alias("v")))))
+    side = lambda f: F.array_sort(F.collect_list(F.when(F.col("attr_key") == f, F.struct("idx", F.col("attr_val").try_cast("long").alias("v")))))
     lists = each.groupBy("rec_id").agg(side("exon_starts").alias("a"), side("exon_ends").alias("b"))
     whole = F.size(F.filter("a", lambda x: x["idx"] > F.size("a"))) + F.size(F.filter("b", lambda x: x["idx"] > F.size("b")))
     good = lists.where((F.size("a") == F.size("b")) & (whole == 0)).select("rec_id", F.transform("a", lambda x: x["v"]).alias("exon_starts"), F.transform("b", lambda x: x["v"]).alias("exon_ends"))

@@ -39,7 +39,7 @@ def write_fasta(df: DataFrame, path: str, *, name: str = "seq_id", single: bool
 def sam_text() -> Column:
     """A SAM line of an alignment row; places from 1, tags with their types (i for whole numbers, else Z)."""
     tags = F.transform(F.map_entries("tags"), lambda t: F.concat(t["key"], F.when(t["value"].rlike("^-?[0-9]{1,9}$"), ":i:").otherwise(":Z:"), t["value"]))
-    plain = [F.col("qname"), F.col("flag").cast("string"), F.col("rname"), (F.col("pos") + 1).cast("string"), F.col("mapq").cast("string"), F.col("cigar"), F.coalesce("rnext", F.lit("*")), (F.coalesce("pnext", F.lit(-1)) + 1).cast("string"), F.coalesce("tlen", F.lit(0)).cast("string"), F.coalesce("seq", F.lit("*")), F.coalesce("qual", F.lit("*"))]
+    plain = [F.col("qname"), F.col("flag").cast("string"), F.col("rname"), (F.col("pos") + 1).cast("string"), F.col("mapq").cast("string"), F.col("cigar"), F.when((F.col("rnext") == F.col("rname")) & (F.col("rnext") != "*"), "=").otherwise(F.coalesce("rnext", F.lit("*"))), (F.coalesce("pnext", F.lit(-1)) + 1).cast("string"), F.coalesce("tlen", F.lit(0)).cast("string"), F.coalesce("seq", F.lit("*")), F.coalesce("qual", F.lit("*"))]
     return F.concat_ws("\t", *plain, tags)
 
 

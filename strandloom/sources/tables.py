@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 from strandloom import schemas
 from strandloom.operators.unpack import QUOTED
 
-_HEADER = r"^@[A-Z]{2}\t"
+SAM_HEADER = r"^@[A-Z]{2}\t"
 
 
 def sam_columns(value: Column) -> list[Column]:
     """The alignment columns of a SAM line; places count from 0, ``*`` stays in names, is null in sequence and qualities."""
-    at = lambda i: F.get(F.split(value, "\t"), F.lit(i))
-    tags = F.transform(F.slice(F.split(value, "\t"), F.lit(12), F.size(F.split(value, "\t"))), lambda t: F.struct(F.substring(t, 1, 2).alias("key"), F.substring(t, 6, 1_000_000).alias("value")))
+    # A header line is no row; it is masked here too, as a condition on a column may run before the one that drops it.
+    line = F.when(~value.rlike(SAM_HEADER), value)
+    at = lambda i: F.get(F.split(line, "\t"), F.lit(i))
+    tags = F.transform(F.slice(F.split(line, "\t"), F.lit(12), F.greatest(F.size(F.split(line, "\t")), F.lit(0))), lambda t: F.struct(F.substring(t, 1, 2).alias("key"), F.substring(t, 6, 1_000_000).alias("value")))
     return [
         at(0).alias("qname"), at(1).cast("int").alias("flag"), at(2).alias("rname"), (at(3).cast("bigint") - 1).alias("pos"), at(4).cast("int").alias("mapq"), at(5).alias("cigar"),
         F.when(at(6) == "=", at(2)).otherwise(at(6)).alias("rnext"), (at(7).cast("bigint") - 1).alias("pnext"), at(8).cast("bigint").alias("tlen"),
@@ -28,13 +30,13 @@ def sam_columns(value: Column) -> list[Column]:
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """The alignments of SAM text; ``ordinal`` rises with the place in the input, without being a count."""
-    rows = spark.read.text(path).where((F.length("value") > 0) & ~F.col("value").rlike(_HEADER))
+    rows = spark.read.text(path).where((F.length("value") > 0) & ~F.col("value").rlike(SAM_HEADER))
     return rows.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("ordinal"), *sam_columns(F.col("value")))
 
 
 def read_sam_header(spark: SparkSession, path: str) -> DataFrame:
     """The header lines: ``file, line_no, line``."""
-    rows = spark.read.text(path).where(F.col("value").rlike(_HEADER))
+    rows = spark.read.text(path).where(F.col("value").rlike(SAM_HEADER))
     return rows.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
 
 
@@ -136,7 +138,7 @@ def read_picard_rna(spark: SparkSession, path: str, attr: str = "strand") -> Dat
     if attr not in ("strand", "cov", "base"):
         raise ValueError("attr must be strand, cov or base")
     skip, rows = (10, None) if attr == "cov" else (6, 1)
-    pages = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("samplename"), F.slice(F.split("value", "\r?\n"), skip + 1, 1_000_000).alias("l"))
+    pages = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("samplename"), F.slice(F.split("value", "\r?\n"), skip + 1, 1_000_000).alias("l"))
     body = F.slice("l", F.lit(2), F.lit(rows) if rows else F.size("l"))
     lines = pages.select("samplename", F.split(F.get("l", F.lit(0)), "\t").alias("names"), F.posexplode(F.filter(body, lambda x: x != "")).alias("row", "line"))
     cells = lines.select("samplename", "row", F.explode(F.arrays_zip("names", F.split("line", "\t").alias("cells"))).alias("x")).select("samplename", "row", F.col("x.names").alias("variable"), F.col("x.cells").try_cast("double").alias("var_count"))
