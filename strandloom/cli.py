@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from strandloom.operators import pairs, pileup, trim, umi
 from strandloom.plans import pipelines
+from strandloom.session import ship_package
 from strandloom.sources import sequences, sinks, tables
 
 
@@ -177,6 +178,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     if spark is None:
         builder = SparkSession.builder.appName(f"strandloom {arguments.command}").master(arguments.master)
         spark = builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    ship_package(spark)
     arguments.run(spark, arguments)
 
 

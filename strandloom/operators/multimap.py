@@ -24,18 +24,21 @@ def best_pairs(pairs: DataFrame, genes: DataFrame | None = None, score: Column |
     then the shortest template, then a regular chromosome.
     """
     score = score if score is not None else F.col("tags1")["AS"].try_cast("int") + F.col("tags2")["AS"].try_cast("int")
-    rows = pairs.where((F.col("rname1") == F.col("rname2")) & (F.abs("tlen1") == F.abs("tlen2"))).withColumn("score__", score)
+    rows = pairs.where((F.col("rname1") == F.col("rname2")) & (F.abs("tlen1") == F.abs("tlen2"))).withColumns({"score__": score, "ribo__": G.ribosomal_or_mitochondrial(F.col("rname1"))})
+    # Only candidates tied for the best score go on to be looked up among the genes.
+    first = Window.partitionBy("qname").orderBy(F.col("score__").desc_nulls_last(), F.col("ribo__").desc())
+    rows = rows.withColumn("tie__", F.rank().over(first)).where(F.col("tie__") == 1).drop("tie__")
     if genes is None:
         rows = rows.withColumn("gene__", F.lit(False))
     else:
         start = F.least("pos1", "pos2")
         end = F.greatest(F.col("pos1") + C.reference_length(F.col("cigar1")), F.col("pos2") + C.reference_length(F.col("cigar2")))
-        spans = rows.select("qname", F.col("rname1").alias("chrom"), start.cast("long").alias("start"), end.cast("long").alias("end")).distinct()
-        on_gene = overlapping_rows(spans, genes, ["chrom"]).withColumn("gene__", F.lit(True))
-        rows = rows.withColumns({"chrom": F.col("rname1"), "start": start.cast("long"), "end": end.cast("long")}).join(on_gene, ["qname", "chrom", "start", "end"], "left").withColumn("gene__", F.coalesce("gene__", F.lit(False))).drop("chrom", "start", "end")
+        rows = rows.withColumns({"chrom": F.col("rname1"), "start": start.cast("long"), "end": end.cast("long")})
+        on_gene = overlapping_rows(rows.select("qname", "chrom", "start", "end"), genes, ["chrom"]).distinct().withColumn("gene__", F.lit(True))
+        rows = rows.join(on_gene, ["qname", "chrom", "start", "end"], "left").withColumn("gene__", F.coalesce("gene__", F.lit(False))).drop("chrom", "start", "end")
     lot = F.xxhash64("rname1", "pos1", "pos2", "flag1", "flag2")
-    order = Window.partitionBy("qname").orderBy(F.col("score__").desc_nulls_last(), G.ribosomal_or_mitochondrial(F.col("rname1")).desc(), F.col("gene__").desc(), F.abs("tlen1"), G.regular_chrom(F.col("rname1")).desc(), lot, "rname1", "pos1", "pos2")
-    best = rows.withColumn("place__", F.row_number().over(order)).where(F.col("place__") == 1).drop("place__", "score__", "gene__")
+    order = Window.partitionBy("qname").orderBy(F.col("gene__").desc(), F.abs("tlen1"), G.regular_chrom(F.col("rname1")).desc(), lot, "rname1", "pos1", "pos2")
+    best = rows.withColumn("place__", F.row_number().over(order)).where(F.col("place__") == 1).drop("place__", "score__", "ribo__", "gene__")
     one, two = G.fixed_pair_flags(F.col("flag1"))
     return best.withColumn("flag2", two).withColumn("flag1", one)
 

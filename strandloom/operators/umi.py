@@ -84,21 +84,32 @@ def _mismatches(a: Column, b: Column) -> Column:
 
 
 def _spread(labels: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Labels (keys..., umi, n, rank struct) after every node has taken the least label that reaches it over ``edges`` src -> dst."""
+    """Labels (keys..., umi, n, label) after every node has taken the least label that reaches it over ``edges`` src -> dst.
+
+    A round takes the best label of all sources and then that label's own
+    label: what reaches a node's label reaches the node, so chains shrink by
+    powers and rounds grow as the logarithm of the longest.
+    """
     now = settle(labels, "labels")
     while True:
-        sources = now.select(*[F.col(k).alias(f"{k}__s") for k in keys], F.col("umi").alias("src"), F.col("label").alias("offer"))
-        same = [F.col(k).eqNullSafe(F.col(f"{k}__s")) for k in keys]
-        offered = edges.join(sources, [*same, edges["src"] == sources["src"]]).groupBy(*keys, "dst").agg(F.min("offer").alias("offer"))
+        offers = _lookup(now, keys)
+        offered = edges.join(offers, [*[F.col(k).eqNullSafe(F.col(f"{k}__s")) for k in keys], edges["src"] == offers["name__s"]]).groupBy(*keys, "dst").agg(F.min("label__s").alias("offer"))
         offered = offered.select(*[F.col(k).alias(f"{k}__o") for k in keys], "dst", "offer")
         match = [F.col(k).eqNullSafe(F.col(f"{k}__o")) for k in keys]
         better = F.col("offer").isNotNull() & (F.col("offer") < F.col("label"))
         step = now.drop("moved").join(offered, [*match, F.col("umi") == F.col("dst")], "left")
-        step = step.select(*keys, "umi", "n", F.when(better, F.col("offer")).otherwise(F.col("label")).alias("label"), F.coalesce(better, F.lit(False)).alias("moved"))
-        before, now = now, settle(step, "labels")
-        drop_settled(before)
-        if now.where("moved").isEmpty():
-            return now.drop("moved")
+        step = settle(step.select(*keys, "umi", "n", F.when(better, F.col("offer")).otherwise(F.col("label")).alias("label"), F.coalesce(better, F.lit(False)).alias("moved")), "labels")
+        drop_settled(now)
+        if step.where("moved").isEmpty():
+            return step.drop("moved")
+        above = _lookup(step, keys)
+        jumped = step.join(above, [*[F.col(k).eqNullSafe(F.col(f"{k}__s")) for k in keys], F.col("label.u") == F.col("name__s")])
+        now = settle(jumped.select(*keys, "umi", "n", F.least("label", "label__s").alias("label"), "moved"), "labels")
+        drop_settled(step)
+
+
+def _lookup(labels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return labels.select(*[F.col(k).alias(f"{k}__s") for k in keys], F.col("umi").alias("name__s"), F.col("label").alias("label__s"))
 
 
 def _ranked(counts: DataFrame, keys: Sequence[str]) -> DataFrame:

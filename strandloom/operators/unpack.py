@@ -115,6 +115,12 @@ def _strip(value: Column) -> Column:
     return F.regexp_replace(value, r"\A\s+|\s+\z", "")
 
 
+def _plain_ids(ids: Sequence[str]) -> list[str]:
+    if {"attr_key", "idx", "attr_val"} & set(ids):
+        raise ValueError("an id must not be named attr_key, idx or attr_val")
+    return [f"i{k}" for k in range(len(ids))]
+
+
 def attribute_values(df: DataFrame, ids: Sequence[str], field: str, source: str) -> DataFrame:
     """One row per attribute of ``field``: ``ids..., attr_key, idx, attr_val``.
 
@@ -125,7 +131,7 @@ def attribute_values(df: DataFrame, ids: Sequence[str], field: str, source: str)
     A null source ranks with the other null sources. Rows may repeat; each is
     split. Columns other than those named are not read.
     """
-    names = [f"i{k}" for k in range(len(ids))]
+    names = _plain_ids(ids)
     rows = df.select(*[df[c].alias(n) for c, n in zip(ids, names)], df[source].cast("string").alias("src"), df[field].cast("string").alias("field"))
     rows = rows.where(~_blank(F.col("field")))
     pieces = {n.name: F.filter(F.regexp_extract_all(F.col("field"), F.lit(n.piece), F.lit(0)), lambda p: ~p.rlike(r"\A\s*\z")) for n in ATTRIBUTE_NOTATIONS}
@@ -143,7 +149,7 @@ def list_values(df: DataFrame, ids: Sequence[str], field: str, source: str) -> D
     row; a delimiter at the list's end opens none. Quotes around the list or
     around an item go. Null, blank and lone-dot fields give no row.
     """
-    names = [f"i{k}" for k in range(len(ids))]
+    names = _plain_ids(ids)
     rows = df.select(*[df[c].alias(n) for c, n in zip(ids, names)], df[source].cast("string").alias("src"), df[field].cast("string").alias("field"))
     bare = _strip(F.translate(F.col("field"), "\"'", ""))
     rows = rows.withColumn("field", bare).where(~_blank(F.col("field")))

@@ -209,7 +209,7 @@ select qname, mapq, abs(t1) size, on_gene from k where k = 1"""
 )
 def best_alignment_pair(spark: SparkSession, sf: str) -> DataFrame:
     names = table(spark, sf, "fragments").select("frag_id", F.regexp_extract("read_name", r"(?s)\A([^/\s]*)", 1).alias("read")).dropDuplicates(["frag_id"]).where(F.col("read").isNotNull())
-    paired = pairs.mates(alignments(spark, sf)).withColumn("frag_id", F.col("qname").cast("long")).drop("qname")
+    paired = pairs.mates(alignments(spark, sf).drop("tags")).withColumn("frag_id", F.col("qname").cast("long")).drop("qname")
     rows = paired.join(names, "frag_id").withColumnRenamed("read", "qname").where(F.col("tlen1").isNotNull())
     gene = _genes(spark, sf)
     best = multimap.best_pairs(rows, gene, score=F.col("mapq1"))

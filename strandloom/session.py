@@ -10,10 +10,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: dict[str, SparkSession] = {}
+_shipped: set[str] = set()
 
 
 def local_session(app: str = "strandloom", cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -30,9 +33,28 @@ def local_session(app: str = "strandloom", cores: int | str = "*", partitions: i
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the session's Python workers, once an application.
+
+    Spark hands the archive to every executor, so the package need not be
+    installed on them.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="strandloom-")) / "strandloom.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; in local mode a temporary folder stands in when it is unset.
 
