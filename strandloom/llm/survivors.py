@@ -53,10 +53,10 @@ def _choices(df: DataFrame, keys: Sequence[str], record: str, rules: Mapping[str
         order = [c.alias(f"o{i}") for i, c in enumerate(rule.better)]
         # ~x falls as x rises, without overflow: the smallest record wins a tie.
         supplied = [F.col(c).alias(f"t{i}") for i, c in enumerate(rule.takes)]
-        picks.append(F.max(F.when(rule.fits, F.struct(*order, F.bitwise_not(F.col(record)).alias("tie"), *supplied))).alias(f"pick_{name}"))
-    several = [F.min(record).alias("low"), F.max(record).alias("high")]
+        picks.append(F.max(F.when(rule.fits, F.struct(*order, F.bitwise_not(F.col(record)).alias("tie"), *supplied))).alias(f"pick__{name}"))
+    several = [F.min(record).alias("low__"), F.max(record).alias("high__")]
     grouped = df.groupBy(*keys).agg(*several, *picks)
-    return grouped if least < 2 else grouped.where(F.col("low") != F.col("high"))
+    return grouped if least < 2 else grouped.where(F.col("low__") != F.col("high__"))
 
 
 def best_fields(df: DataFrame, keys: Sequence[str], record: str, rules: Mapping[str, FieldRule], *, least: int = 2) -> DataFrame:
@@ -69,17 +69,17 @@ def best_fields(df: DataFrame, keys: Sequence[str], record: str, rules: Mapping[
     """
     full = df.dropna(subset=[*keys, record])
     found = _choices(full, keys, record, rules, least)
-    each = F.array(*[F.struct(F.lit(n).alias("field_name"), F.bitwise_not(F.col(f"pick_{n}.tie")).alias(record)) for n in rules])
+    each = F.array(*[F.struct(F.lit(n).alias("field_name"), F.bitwise_not(F.col(f"pick__{n}.tie")).alias(record)) for n in rules])
     out = found.select(*keys, F.explode(each).alias("x")).select(*keys, "x.*")
     return out.where(F.col(record).isNotNull())
 
 
 def built_records(df: DataFrame, keys: Sequence[str], record: str, rules: Mapping[str, FieldRule], *, least: int = 1) -> DataFrame:
-    """One built record a group: ``keys..., n_low`` (its smallest record) and every supplied column, each from its best record."""
+    """One built record a group: ``keys..., first_<record>`` (its smallest record) and every supplied column, each from its best record."""
     full = df.dropna(subset=[*keys, record])
     found = _choices(full, keys, record, rules, least)
-    columns = [F.col(f"pick_{n}.t{i}").alias(c) for n, r in rules.items() for i, c in enumerate(r.takes)]
-    return found.select(*keys, F.col("low").alias(f"first_{record}"), *columns)
+    columns = [F.col(f"pick__{n}.t{i}").alias(c) for n, r in rules.items() for i, c in enumerate(r.takes)]
+    return found.select(*keys, F.col("low__").alias(f"first_{record}"), *columns)
 
 
 def infer_truth(df: DataFrame, entity: Sequence[str], source: str, value: str, *, rounds: int = 8, prior: float = 0.5, keep: float = 0.5) -> DataFrame:
