@@ -110,7 +110,7 @@ select id bc_id, min(root) group_root from reach group by 1""",
 with r as (select distinct frag_id, fragment_size, regexp_extract(read_name, '^[^/\s]*') as nm from fragments
   where read_name is not null and fragment_size is not null),
 k as (select frag_id, row_number() over (partition by nm order by fragment_size desc, frag_id) pick_no from r)
-select frag_id, pick_no from k where pick_no <= 3""",
+select frag_id, pick_no::int pick_no from k where pick_no <= 3""",
     "p6_found": _FAMILIES
     + f"""
 select group_id, barcode, 'seq' field_name, rec_id from (select *, row_number() over (partition by group_id, barcode order by called desc, phred desc, rec_id) k from q) where k = 1
