@@ -78,7 +78,10 @@ def clip_fq(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def correct_fq(spark: SparkSession, a: argparse.Namespace) -> None:
     one, two = (sequences.read_fastq(spark, p) for p in (a.fastq1, a.fastq2))
-    out = pipelines.correct_fastq(one, two, least=a.min_members, threshold=a.fraction, read=int(a.read[-1]), umi_bases=a.umi, constant=a.constant, mismatches=a.mismatch, least_qual=a.cutoff)
+    rules = {"read": int(a.read[-1]), "umi_bases": a.umi, "constant": a.constant, "mismatches": a.mismatch, "least_qual": a.cutoff}
+    out = pipelines.correct_fastq(one, two, least=a.min_members, threshold=a.fraction, **rules)
+    if a.failed:
+        sinks.write_tsv(pipelines.failed_pairs(one, two, **rules), a.failed)
     for k in (1, 2):
         rows = out.select(F.concat("name", F.lit(f"/{k}")).alias("id"), F.col(f"seq{k}").alias("seq"), F.col(f"qual{k}").alias("qual"))
         sinks.write_fastq(rows, f"{a.output}/R{k}", compression="gzip")
@@ -161,7 +164,7 @@ def parser() -> argparse.ArgumentParser:
     add("dedup", dedup, *io, arg("-t", "--threshold", type=int, default=1), arg("-d", "--delimiter", default="_"), arg("-f", "--fragment", type=int, default=0), arg("--method", choices=["directional", "adjacency", "exact"], default="directional"), arg("--cigar", **yes), help="molecules of BED fragments")
     add("deinterleave", deinterleave, arg("-i", "--input", required=True), arg("-1", "--output1", required=True), arg("-2", "--output2", required=True), arg("-l", "--min_length", type=int, default=0), help="interleaved pairs into two files")
     add("cov2bw", cov2bw, *io, help="depth into bedGraph runs by chromosome")
-    add("correctFQ", correct_fq, *fastqs, arg("-u", "--umi", type=int, default=6), arg("-x", "--constant", default=""), arg("-n", "--min_members", type=int, default=1), arg("-f", "--fraction", type=float, default=0.8), help="consensus pairs of barcode families")
+    add("correctFQ", correct_fq, *fastqs, arg("-u", "--umi", type=int, default=6), arg("-x", "--constant", default=""), arg("-n", "--min_members", type=int, default=1), arg("-f", "--fraction", type=float, default=0.8), arg("--failed"), help="consensus pairs of barcode families")
     add("filterSoftClip", filter_soft_clip, *io, arg("--pe", **yes), arg("-s", "--single_end", type=float, default=0.2), arg("-b", "--both_end", type=float, default=0.5), arg("-v", "--inverse", **yes), help="alignments with little soft clipping")
     add("filterUMI", filter_umi, *io, arg("-n", "--consecutive_bases", type=int, default=3), arg("-t", "--tag"), help="alignments without runs in their UMI")
     add("mergepe", merge_pe, *io, arg("-m", "--min_overlap", type=int, default=15), arg("-e", "--error", type=float, default=0.1), arg("-a", "--all", **yes), arg("--highlight", **yes), arg("-c", "--conserved", **yes), help="overlapping mates into one read")

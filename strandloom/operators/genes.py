@@ -48,6 +48,30 @@ def exon_table(transcripts: DataFrame) -> DataFrame:
     return rows.withColumn("coding_bases", coding).drop("exons", "cds", "cde")
 
 
+def coding_exons(exons: DataFrame) -> DataFrame:
+    """:func:`exon_table` with ``is_coding`` (holds an end of coding, or lies between them) and ``whole_coding`` (holds both)."""
+    between = (F.col("after_cds") > 0) & (F.col("after_cde") == 0)
+    return exons.withColumns({"is_coding": F.col("contain_cds") | F.col("contain_cde") | between, "whole_coding": F.col("contain_cds") & F.col("contain_cde")})
+
+
+def five_utr_length(strand: Column, tx_start: Column, tx_end: Column, cds: Column, cde: Column, correct: bool = False) -> Column:
+    """Transcript places before coding starts, introns included.
+
+    By custom it is negative on ``+`` (start less coding start); ``correct``
+    turns that around.
+    """
+    plus = cds - tx_start if correct else tx_start - cds
+    return F.when(strand == "-", tx_end - cde).otherwise(plus)
+
+
+def transcripts_of(transcripts: DataFrame, gene: str) -> DataFrame:
+    """The transcripts of one gene; raises if there is none."""
+    found = transcripts.where(F.col("gene") == gene)
+    if found.isEmpty():
+        raise KeyError(gene)
+    return found
+
+
 def first_coding_exon(transcripts: DataFrame) -> DataFrame:
     """The first exon of each transcript that holds the start of coding."""
     found = exon_table(transcripts).where("contain_cds")

@@ -75,6 +75,12 @@ def correct_fastq(reads1: DataFrame, reads2: DataFrame, **options: object) -> Da
     return numbered.withColumn("name", F.concat(F.lit("cluster"), F.col("cluster_no").cast("string"), F.lit("_"), "barcode", F.lit("_"), F.col("members").cast("string"), F.lit("_members")))
 
 
+def failed_pairs(reads1: DataFrame, reads2: DataFrame, **rules: object) -> DataFrame:
+    """Pairs whose barcode is refused: name, then sequence and qualities of both reads."""
+    rows = families.barcoded_pairs(fastq_pairs(reads1, reads2), **rules).where(~F.col("accepted"))
+    return rows.select("id1", "seq1", "qual1", "seq2", "qual2")
+
+
 def demultiplex(alignments: DataFrame, tag: str = "RX", mode: str = "prob", order: str | None = None) -> DataFrame:
     """Consensus reads of tagged families as FASTQ rows."""
     return families.family_reads(families.tagged_families(alignments, tag, mode, order))

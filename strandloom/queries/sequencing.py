@@ -482,7 +482,7 @@ def msa_consensus(spark: SparkSession, sf: str) -> DataFrame:
     return kmers.alignment_consensus(reads(spark, sf).select(F.col("rec_id").alias("seq_id"), "seq")).withColumn("share", F.round("share", 9))
 
 
-@query("select a.n_name seq_a, b.n_name seq_b, hamming(rpad(a.n_name, 16, '-'), rpad(b.n_name, 16, '-')) distance from nation a, nation b")
+@query("select a.n_name seq_a, b.n_name seq_b, hamming(rpad(a.n_name, 16, '-'), rpad(b.n_name, 16, '-'))::int distance from nation a, nation b")
 def msa_pairwise_hamming(spark: SparkSession, sf: str) -> DataFrame:
     return kmers.pair_matrix(table(spark, sf, "nation").select(F.col("n_name").alias("seq_id"), F.rpad("n_name", 16, "-").alias("seq")))
 
@@ -526,7 +526,7 @@ def iupac_expand(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("seq", F.explode(S.iupac_expansions(F.col("seq"))).alias("expanded"), F.array_join(S.degenerate_codes(F.col("seq")), "").alias("codes"))
 
 
-@query(f"with {R_SQL} select rec_id, hamming(substr(seq, 1, 12), rpad(substr(barcode, 1, 12), 12, 'N')) ham, levenshtein(substr(seq, 1, 12), barcode) lev, substr(seq, 3, 5) part, length(regexp_extract(seq, '^A*')) > 0 starts_a from r")
+@query(f"with {R_SQL} select rec_id, hamming(substr(seq, 1, 12), rpad(substr(barcode, 1, 12), 12, 'N'))::int ham, levenshtein(substr(seq, 1, 12), barcode)::int lev, substr(seq, 3, 5) part, length(regexp_extract(seq, '^A*')) > 0 starts_a from r")
 def distances(spark: SparkSession, sf: str) -> DataFrame:
     head = F.substring("seq", 1, 12)
     return reads(spark, sf).select("rec_id", S.hamming(head, F.rpad(F.substring("barcode", 1, 12), 12, "N")).alias("ham"), S.levenshtein(head, F.col("barcode")).alias("lev"), S.subseq(F.col("seq"), 2, 7).alias("part"), F.startswith("seq", F.lit("A")).alias("starts_a"))

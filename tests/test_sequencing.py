@@ -254,6 +254,14 @@ def test_transcripts(spark):
     minus = sorted(genes.exon_table(transcript(spark, "-")).collect(), key=lambda r: r.exon_num)
     assert [(r.start, r.tx_start, r.coding_bases) for r in minus] == [(300, 0, 50), (200, 100, 60), (100, 160, 20)]
     assert genes.first_coding_exon(transcript(spark, "-")).first().start == 300
+    coded = genes.coding_exons(genes.exon_table(transcript(spark))).orderBy("exon_num").collect()
+    assert [(r.is_coding, r.whole_coding) for r in coded] == [(True, False), (True, False), (True, False)]
+    utr = lambda right: genes.five_utr_length(*[F.col(c) for c in ("strand", "tx_start", "tx_end", "cds", "cde")], correct=right)
+    assert transcript(spark).select(utr(False), utr(True)).first()[:] == (-30, 30) and transcript(spark, "-").select(utr(False)).first()[0] == 50
+    named = transcript(spark).withColumn("gene", F.lit("G"))
+    assert genes.transcripts_of(named, "G").count() == 1
+    with pytest.raises(KeyError):
+        genes.transcripts_of(named, "H")
     assert sorted(tuple(r)[1:3] for r in genes.introns(transcript(spark)).collect()) == [(151, 200), (261, 300)]
     assert [r.intron_num for r in genes.introns(transcript(spark, "-")).orderBy("start").collect()] == [2, 1]
     t = genes.exons_of(transcript(spark, "-"))
@@ -284,6 +292,8 @@ def test_features(spark):
         kmers.kmer_bag(df, "i", "seq", 1, 5).collect()
     gapped = {(r.i, r.key): r.n for r in kmers.gapped_kmers(df, "i", "seq", 2, 1).collect()}
     assert gapped[(2, "AA")] == 3 and gapped[(2, "CA")] == 3 and (2, "CC") not in gapped
+    full = {(r.i, r.key): r.n for r in kmers.gapped_kmers(df, "i", "seq", 2, 1, zeros=True).collect()}
+    assert len(full) == 32 and full[(2, "CC")] == 0 and {k: v for k, v in full.items() if v} == gapped
     with pytest.raises(ValueError):
         kmers.gapped_kmers(df, "i", "seq", 9, 1)
     msa = spark.createDataFrame([("x", "AC-"), ("y", "AG-"), ("z", "TGT")], "seq_id string, seq string")

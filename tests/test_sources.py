@@ -168,7 +168,8 @@ def test_command_line_on_reads(spark, tmp_path):
     (tmp_path / "i.fq").write_text("".join(fastq([(n + "/1", a, "I" * len(a)), (n + "/2", b, "I" * len(b))]) for n, a, b in records))
     run(spark, "clipFQ", "-1", tmp_path / "1.fq", "-2", tmp_path / "2.fq", "-o", tmp_path / "clip", "-b", "XXXXXX")
     assert lines_of(tmp_path / "clip").count(insert) == 3 and "@ACGTCA_r0" in lines_of(tmp_path / "clip")
-    run(spark, "correctFQ", "-1", tmp_path / "1.fq", "-2", tmp_path / "2.fq", "-o", tmp_path / "corr", "-n", 2)
+    run(spark, "correctFQ", "-1", tmp_path / "1.fq", "-2", tmp_path / "2.fq", "-o", tmp_path / "corr", "-n", 2, "--failed", tmp_path / "failed")
+    assert lines_of(tmp_path / "failed") == []
     assert "@cluster0_ACGTCA_3_members/1" in lines_of(tmp_path / "corr" / "R1") and insert in lines_of(tmp_path / "corr" / "R1")
     run(spark, "deinterleave", "-i", tmp_path / "i.fq", "-1", tmp_path / "d1", "-2", tmp_path / "d2")
     assert len(lines_of(tmp_path / "d1")) == 12
