@@ -25,8 +25,8 @@ def runs(cigar: Column) -> Column:
 
 def total(cigar: Column, ops: str) -> Column:
     """Summed length of the operations among ``ops``; 0 without any, null for a null CIGAR."""
-    chosen = F.filter(runs(cigar), lambda r: r["op"].isin(*ops))
-    return F.aggregate(chosen, F.lit(0), lambda a, r: a + r["n"])
+    lengths = F.regexp_extract_all(cigar, F.lit(f"([0-9]+)[{ops}]"), F.lit(1))
+    return F.aggregate(lengths, F.lit(0), lambda a, n: a + n.cast("int"))
 
 
 def reference_length(cigar: Column) -> Column:
@@ -51,7 +51,7 @@ def clipped(cigar: Column) -> Column:
 
 def longest_clip(cigar: Column) -> Column:
     """The longest soft clip; 1 where there is none."""
-    return F.coalesce(F.array_max(F.transform(F.filter(runs(cigar), lambda r: r["op"] == "S"), lambda r: r["n"])), F.lit(1))
+    return F.coalesce(F.array_max(F.transform(F.regexp_extract_all(cigar, F.lit("([0-9]+)S"), F.lit(1)), lambda n: n.cast("int"))), F.lit(1))
 
 
 def expand(cigar: Column) -> Column:
