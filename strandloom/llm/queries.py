@@ -100,12 +100,29 @@ m as (select f.* from f join g using (group_id, barcode)),
 q as (select *, length(seq) - length(regexp_replace(upper(seq), '[^N]', '', 'g')) called,
       list_sum([ascii(c) - 33 for c in string_split(qual, '')]) phred from m where seq is not null and qual is not null and length(seq) = length(qual))"""
 
-SQL = {
-    "p1_found": """
+_LINKED = """
 with recursive e as (select bc_id_a a, bc_id_b b from umi_links where dist <= 1 and bc_id_a <> bc_id_b
   union select bc_id_b, bc_id_a from umi_links where dist <= 1 and bc_id_a <> bc_id_b),
-reach(id, root) as (select a, a from e union select e.b, r.root from reach r join e on e.a = r.id where r.root < e.b)
-select id bc_id, min(root) group_root from reach group by 1""",
+reach(id, root) as (select a, a from e union select e.b, r.root from reach r join e on e.a = r.id where r.root < e.b),
+g as (select id bc_id, min(root) group_root from reach group by 1)"""
+_BUILT = f"""
+with r as (select distinct on (rec_id) *, {_TIDY} bc from fastq_reads),
+f as (select * exclude (barcode), bc barcode from r where group_id is not null and bc is not null and not contains(bc, 'N')),
+q as (select *, length(seq) - length(regexp_replace(upper(seq), '[^N]', '', 'g')) called,
+  coalesce(list_sum([ascii(c) - 33 for c in string_split(qual, '')]), 0) phred from f where seq is not null and qual is not null and length(seq) = length(qual)),
+s as (select group_id, barcode, seq, qual from q qualify row_number() over (partition by group_id, barcode order by called desc, phred desc, rec_id) = 1),
+d as (select group_id, barcode, description from f where not {_MISSING.format("description")} qualify row_number() over (partition by group_id, barcode order by run_at desc nulls last, rec_id) = 1),
+i as (select group_id, barcode, instrument from f where not {_MISSING.format("instrument")} qualify row_number() over (partition by group_id, barcode order by run_at desc nulls last, rec_id) = 1),
+k as (select group_id, barcode, min(rec_id) first_rec_id from f group by 1, 2)
+select group_id, barcode, first_rec_id, seq, qual, description, instrument from k left join s using (group_id, barcode) left join d using (group_id, barcode) left join i using (group_id, barcode)"""
+
+SQL = {
+    "p6_built": _BUILT,
+    "p1_found": _LINKED + " select bc_id, group_root from g",
+    "p1_molecules": _LINKED
+    + """, b as (select distinct on (bc_id) bc_id, n_members, upper(umi) umi from barcode_sets),
+m as (select coalesce(group_root, bc_id) molecule, bc_id, coalesce(n_members, 0) n, umi from b left join g using (bc_id))
+select molecule, count(*) n_barcodes, sum(n)::bigint n_members, list(umi order by n desc, bc_id)[1] umi from m group by 1""",
     "p4_found": r"""
 with r as (select distinct frag_id, fragment_size, regexp_extract(read_name, '^[^/\s]*') as nm from fragments
   where read_name is not null and fragment_size is not null),

@@ -228,7 +228,7 @@ def test_query_equals_sql(spark, sf, name):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("fragments", "umi_links", "fastq_reads"):
+    for table in ("fragments", "umi_links", "fastq_reads", "barcode_sets"):
         con.execute(f"create view {table} as select * from '{sf}/{table}.parquet'")
     found = con.execute(queries.SQL[name])
     names = [c[0] for c in found.description]
