@@ -72,6 +72,25 @@ def poisson_expand(spark: SparkSession, sf: str) -> DataFrame:
     return umi.expanded_molecules(umi.saturation(_windows(spark, sf), _PLACE, "umi", 3))
 
 
+_SAT_PLACES = f"""with {F_SQL}, s as (select chrom, "start", "end", strand, count(distinct tag) n_umi from f where tag is not null group by all),
+m as (select *, greatest(n_umi, cast(round(-1048576.0 * ln(1 - least(n_umi, 1048575) / 1048576.0)) as bigint)) n_molecules from s)"""
+
+
+def _saturated_places(spark: SparkSession, sf: str) -> DataFrame:
+    return umi.saturation(frags(spark, sf).where(F.col("tag").isNotNull()), ["chrom", "start", "end", "strand"], "tag", 10)
+
+
+@query(_SAT_PLACES + " select * from m")
+def umi_saturation_places(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole tags at the places of a BED file."""
+    return _saturated_places(spark, sf)
+
+
+@query(_SAT_PLACES + """ select chrom, "start", "end", strand, 'frag:UMI_' || n_umi || '_' || i as name, 0 as score from (select *, unnest(range(1, n_molecules + 1)) i from m)""")
+def poisson_expand_places(spark: SparkSession, sf: str) -> DataFrame:
+    return umi.expanded_molecules(_saturated_places(spark, sf))
+
+
 @query(f'with {F_SQL} select chrom, "start", "end", strand, tag umi, count(*) n_members from f where tag is not null group by all')
 def umi_dedup_exact(spark: SparkSession, sf: str) -> DataFrame:
     return umi.deduplicated(frags(spark, sf), ["chrom", "start", "end", "strand"], "tag", method="exact")
