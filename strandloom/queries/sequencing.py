@@ -280,10 +280,14 @@ def region_tiles(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- UMI graphs
 
 
-def _group_counts(spark: SparkSession, sf: str) -> DataFrame:
+def _all_group_counts(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "barcode_sets").select("bc_id", "group_id", F.upper("umi").alias("umi"), F.coalesce("n_members", F.lit(1)).alias("k")).dropDuplicates(["bc_id"])
-    rows = rows.where(F.col("group_id").isNotNull() & F.col("umi").rlike("^[ACGT]+$"))
-    return rows.groupBy("group_id", "umi").agg(F.sum("k").alias("n"))
+    return rows.where(F.col("umi").isNotNull()).groupBy("group_id", "umi").agg(F.sum("k").alias("n"))
+
+
+def _group_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """UMIs of groups without an unread base, as the SQL of three queries has them."""
+    return _all_group_counts(spark, sf).where(F.col("group_id").isNotNull() & F.col("umi").rlike("^[ACGT]+$"))
 
 
 _COUNTS = """b as (select distinct bc_id, group_id, upper(umi) umi, coalesce(n_members, 1) k from barcode_sets where group_id is not null and regexp_full_match(upper(umi), '[ACGT]+')),
@@ -318,6 +322,38 @@ def umi_dedup_adjacency(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("group_id", F.col("cluster").alias("umi")).agg(F.sum("n").alias("n_members"))
 
 
+_ALL_COUNTS = """b as (select distinct bc_id, group_id, upper(umi) umi, coalesce(n_members, 1) k from barcode_sets where umi is not null),
+c as (select group_id, umi, sum(k)::bigint n, length(umi) len from b group by group_id, umi),
+k as (select *, row_number() over (partition by group_id order by n desc, umi) rk from c)"""
+_REACHED = """r(group_id, rk, top) as (select group_id, rk, rk from k union select e.group_id, e.d, r.top from r join e on e.group_id is not distinct from r.group_id and e.s = r.rk where r.top < e.d),
+t as (select group_id, rk, min(top) top from r group by 1, 2)
+select t.group_id, u.umi, sum(k.n)::bigint n_members from t join k on k.group_id is not distinct from t.group_id and k.rk = t.rk join k u on u.group_id is not distinct from t.group_id and u.rk = t.top group by 1, 2"""
+
+
+@query(f"with {_ALL_COUNTS} select x.group_id, x.umi a, x.n na, y.umi b, y.n nb from c x join c y on x.group_id is not distinct from y.group_id and x.len = y.len and x.umi < y.umi and hamming(x.umi, y.umi) <= 2")
+def umi_blocked_pairs_all(spark: SparkSession, sf: str) -> DataFrame:
+    return umi.near_pairs(_all_group_counts(spark, sf), ["group_id"], 2)
+
+
+@query(
+    f"""with recursive {_ALL_COUNTS}, e as (select x.group_id, x.rk s, y.rk d from k x join k y on x.group_id is not distinct from y.group_id and x.len = y.len and x.umi <> y.umi and hamming(x.umi, y.umi) <= 1 and x.n >= 2 * y.n - 1),
+{_REACHED}"""
+)
+def umi_dedup_directional_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every UMI of the table, those with an unread base too: members add up to the input."""
+    found = umi.directional_clusters(_all_group_counts(spark, sf), ["group_id"])
+    return found.groupBy("group_id", F.col("cluster").alias("umi")).agg(F.sum("n").alias("n_members"))
+
+
+@query(
+    f"""with recursive {_ALL_COUNTS}, e as (select x.group_id, x.rk s, y.rk d from k x join k y on x.group_id is not distinct from y.group_id and abs(x.len - y.len) <= 1 and x.umi <> y.umi and levenshtein(x.umi, y.umi) <= 1),
+{_REACHED}"""
+)
+def umi_dedup_adjacency_all(spark: SparkSession, sf: str) -> DataFrame:
+    found = umi.adjacency_clusters(_all_group_counts(spark, sf), ["group_id"])
+    return found.groupBy("group_id", F.col("cluster").alias("umi")).agg(F.sum("n").alias("n_members"))
+
+
 # ---------------------------------------------------------------- reads
 
 

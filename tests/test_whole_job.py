@@ -27,3 +27,19 @@ def test_saturation_counts_whole_tags_at_whole_places(spark, tmp_path):
     got = {r.start: (r.n_umi, r.n_molecules) for r in sequencing.QUERIES["umi_saturation_places"](spark, sf).collect()}
     assert got == {10: (66, 66), 11: (1, 1)}
     assert sequencing.QUERIES["poisson_expand_places"](spark, sf).groupBy("start").agg(F.count("name").alias("n")).orderBy("start").collect() == [(10, 66), (11, 1)]
+
+
+def barcode_sets(spark, folder, rows):
+    """Rows are (bc_id, group_id, umi, n_members)."""
+    schema = "bc_id long, group_id long, chrom string, start_pos long, end_pos long, strand string, cigar string, umi string, n_members long, unique_barcode string, loaded_at timestamp"
+    return put(spark, folder, "barcode_sets", [(i, g, "chr1", 1, 9, "+", "8M", u, n, None, AT) for i, g, u, n in rows], schema)
+
+
+def test_umis_with_an_unread_base_stay_in_clusters_and_pairs(spark, tmp_path):
+    rows = [(1, 7, "ACGTACGT", 9), (2, 7, "ACGNACGT", 2), (3, 7, "NNGTTTTT", None), (4, None, "CCCCCCCC", 3), (5, 7, None, 4)]
+    sf = barcode_sets(spark, tmp_path, [*rows, rows[0]])
+    want = {(7, "ACGTACGT", 11), (7, "NNGTTTTT", 1), (None, "CCCCCCCC", 3)}
+    for name in ("umi_dedup_directional_all", "umi_dedup_adjacency_all"):
+        assert {tuple(r) for r in sequencing.QUERIES[name](spark, sf).select("group_id", "umi", "n_members").collect()} == want
+    pairs = sequencing.QUERIES["umi_blocked_pairs_all"](spark, sf).collect()
+    assert [(r.a, r.b) for r in pairs] == [("ACGNACGT", "ACGTACGT")]
