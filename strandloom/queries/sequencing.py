@@ -366,6 +366,14 @@ def reads(spark: SparkSession, sf: str) -> DataFrame:
 R_SQL = r"""rr as (select distinct on (rec_id) rec_id, read_id, upper(seq) seq, qual, upper(regexp_replace(barcode, '^\s+|\s+$', '', 'g')) barcode, group_id from fastq_reads),
 r as (select * from rr where barcode is not null and not contains(barcode, 'N') and length(seq) = length(qual) and length(seq) > 20)"""
 
+def sequences(spark: SparkSession, sf: str, least: int = 0) -> DataFrame:
+    """Every record with a sequence of ``least`` bases or more, once, whatever its barcode and qualities."""
+    rows = table(spark, sf, "fastq_reads").select("rec_id", F.upper("seq").alias("seq"))
+    return rows.where(F.col("seq").isNotNull() & (F.length("seq") >= least)).dropDuplicates(["rec_id"])
+
+
+ALL_SQL = "r as (select distinct on (rec_id) rec_id, upper(seq) seq from fastq_reads where seq is not null)"
+
 _BASES = f"""with {R_SQL}, fam as (select group_id, barcode, min(length(seq)) cut from r where group_id is not null group by 1, 2),
 x as (select r.group_id, r.barcode, i - 1 pos, substr(seq, i, 1) base, ascii(substr(qual, i, 1)) - 33 q from (select *, unnest(range(1, length(seq) + 1)) i from r) r join fam on fam.group_id = r.group_id and fam.barcode = r.barcode where i <= cut),
 s as (select group_id, barcode, pos, base, count(*) n, sum(q) qs, sum(ln(greatest(1 - pow(10.0, -q / 10.0), 1e-300))) hit, sum(ln(pow(10.0, -q / 10.0) / 3)) miss from x group by all)"""
@@ -571,6 +579,40 @@ def onehot(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("rec_id", bits.alias("bits"), S.one_hot_decode(F.col("m")).alias("decoded"))
 
 
+@query(f"with {ALL_SQL}, x as (select i - 1 pos, substr(seq, i, 1) base from (select seq, unnest(range(1, length(seq) + 1)) i from r)), c as (select pos, base, count(*) n from x group by 1, 2) select pos::int pos, base, round(n / sum(n) over (partition by pos), 9) as share from c qualify row_number() over (partition by pos order by n desc, base) = 1")
+def msa_consensus_all(spark: SparkSession, sf: str) -> DataFrame:
+    return kmers.alignment_consensus(sequences(spark, sf).select(F.col("rec_id").alias("seq_id"), "seq")).withColumn("share", F.round("share", 9))
+
+
+@query(f"with {ALL_SQL}, x as (select rec_id, unnest(list_concat([substr(seq, i, 2) for i in range(1, length(seq))], [substr(seq, i, 3) for i in range(1, length(seq) - 1)])) kmer from r where length(seq) >= 3) select kmer, count(*) n, count(distinct rec_id) n_reads from x group by 1")
+def kmer_bag_all(spark: SparkSession, sf: str) -> DataFrame:
+    return kmers.kmer_bag(sequences(spark, sf, 3), "rec_id", "seq", 2, 3).groupBy("kmer").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_reads"))
+
+
+@query(
+    f"""with {ALL_SQL}, x as (select substr(seq, i, 3) kmer, count(*) c from (select seq, unnest(range(1, length(seq) - 1)) i from r) group by 1),
+d as (select a.b || b.b || c.b as "key" from (select unnest(['A','C','G','T']) b) a, (select unnest(['A','C','G','T']) b) b, (select unnest(['A','C','G','T']) b) c)
+select "key", sum(c)::bigint n from x join d on levenshtein(kmer, "key") <= 1 group by 1"""
+)
+def gapped_kmer_all(spark: SparkSession, sf: str) -> DataFrame:
+    return kmers.gapped_kmers(sequences(spark, sf, 3), "rec_id", "seq", 3, 1).groupBy("key").agg(F.sum("n").alias("n"))
+
+
+@query(f"with {ALL_SQL} select rec_id, {_RC.format('seq')} rc, translate(seq, 'ACGTN', 'TGCAN') comp from r")
+def revcomp_all(spark: SparkSession, sf: str) -> DataFrame:
+    return sequences(spark, sf).select("rec_id", S.reverse_complement(F.col("seq")).alias("rc"), S.complement(F.col("seq")).alias("comp"))
+
+
+@query(
+    f"""with {ALL_SQL}, h as (select rec_id, seq, unnest(range(1, length(seq) + 1)) i from r)
+select rec_id, string_agg(case substr(seq, i, 1) when 'A' then '10000' when 'C' then '01000' when 'G' then '00100' when 'N' then '00010' else '00001' end, '' order by i) bits, any_value(seq) decoded from h group by 1"""
+)
+def onehot_all(spark: SparkSession, sf: str) -> DataFrame:
+    rows = sequences(spark, sf, 1).withColumn("m", S.one_hot(F.col("seq")))
+    bits = F.array_join(F.transform("m", lambda row: F.array_join(F.transform(row, lambda x: x.cast("int").cast("string")), "")), "")
+    return rows.select("rec_id", bits.alias("bits"), S.one_hot_decode(F.col("m")).alias("decoded"))
+
+
 @query(
     """with b as (select distinct bc_id, substr(upper(umi), 1, 8) s from barcode_sets where umi is not null),
 c as (select distinct s from b where regexp_full_match(s, '[ACGTN]+') and contains(s, 'N'))

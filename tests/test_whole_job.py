@@ -43,3 +43,20 @@ def test_umis_with_an_unread_base_stay_in_clusters_and_pairs(spark, tmp_path):
         assert {tuple(r) for r in sequencing.QUERIES[name](spark, sf).select("group_id", "umi", "n_members").collect()} == want
     pairs = sequencing.QUERIES["umi_blocked_pairs_all"](spark, sf).collect()
     assert [(r.a, r.b) for r in pairs] == [("ACGNACGT", "ACGTACGT")]
+
+
+def fastq_reads(spark, folder, rows):
+    """Rows are (rec_id, seq, qual, barcode)."""
+    schema = "rec_id long, read_id string, description string, seq string, qual string, barcode string, group_id long, instrument string, run_at timestamp, loaded_at timestamp"
+    return put(spark, folder, "fastq_reads", [(i, None, None, s, q, b, 1, None, AT, AT) for i, s, q, b in rows], schema)
+
+
+def test_reads_without_barcode_or_qualities_count_in_sequence_queries(spark, tmp_path):
+    rows = [(1, "ACGTN", None, None), (2, "acg", "I", "ACNN"), (3, None, None, "ACGT"), (4, "TTTT", "IIII", "ACGT")]
+    sf = fastq_reads(spark, tmp_path, [*rows, rows[0]])
+    q = sequencing.QUERIES
+    assert {r.kmer: (r.n, r.n_reads) for r in q["kmer_bag_all"](spark, sf).collect()}["ACG"] == (2, 2)
+    assert {r.rec_id: r.rc for r in q["revcomp_all"](spark, sf).collect()} == {1: "NACGT", 2: "CGT", 4: "AAAA"}
+    assert {r.rec_id: r.decoded for r in q["onehot_all"](spark, sf).collect()} == {1: "ACGTN", 2: "ACG", 4: "TTTT"}
+    assert {r.pos: (r.base, round(r.share, 3)) for r in q["msa_consensus_all"](spark, sf).collect()}[0] == ("A", 0.667)
+    assert {r.key for r in q["gapped_kmer_all"](spark, sf).collect()} >= {"ACG", "CGT", "TTT"}
