@@ -4,15 +4,16 @@ Texts spread by hash over shards of a few thousand containers; one sum over the
 corpus sets how many. A shard is packed by best-fit decreasing: bins sit in an
 array by residual room, a bitmap over residuals finds the successor of a size
 in one step, and the search goes on to the next residual until a bin is
-compatible. Each bin carries a bitmap of the duplicate clusters and one of the
-sources in it. Two copies of a text don't share a bin; among bins of equal room
-one without the item's source is taken, so that bins mix sources.
+compatible. Each residual, duplicate cluster and source carries a bitmap of its
+bins, so one operation looks at all bins of a residual. Two copies of a text
+don't share a bin; among bins of equal room one without the item's source is
+taken, so that bins mix sources.
 
 Only a shard's last bins are left open, a handful of ``bins_per_shard``. A
-cluster with more copies than its shard needs bins is dealt into as many
-sub-clusters as it takes, and once a shard has a hundredth more bins than its
-items need, an item without a compatible bin takes the tightest bin there is:
-room goes before conflicts, so a hot text costs none.
+cluster with more copies than its shard needs bins conflicts in lots of as many
+as there are bins, so that only the surplus shares bins; and once a shard has a
+hundredth more bins than its items need, an item without a compatible bin takes
+the tightest bin there is: room goes before conflicts, so a hot text costs none.
 """
 
 from __future__ import annotations
@@ -29,64 +30,54 @@ LEAST_WEIGHT = 8
 
 
 def best_fit(sizes: list[int], clusters: list[int], sources: list[int], capacity: int) -> list[int]:
-    """The bin of each item. ``clusters``: a bit number, -1 for none; ``sources``: a bit number."""
+    """The bin of each item. ``clusters``: a number, -1 for none; ``sources``: a number."""
     needed = -(-sum(sizes) // capacity)
     enough = needed + max(1, needed // 100)
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
-    open_rooms = 0
-    held_clusters: list[int] = []
-    held_sources: list[int] = []
+    by_room = [0] * (capacity + 1)  # bitmaps of bins, as are the next two
+    with_cluster: dict[int, int] = {}
+    with_source: dict[int, int] = {}
+    open_rooms = n_bins = 0
     place = [-1] * len(sizes)
     for i in order:
         size = sizes[i]
-        cluster = 1 << clusters[i] if clusters[i] >= 0 else 0
-        source = 1 << sources[i]
-        rooms, room, at = open_rooms >> size << size, -1, -1
+        cluster, source = clusters[i], sources[i]
+        clash, known = with_cluster.get(cluster, 0) if cluster >= 0 else 0, with_source.get(source, 0)
+        rooms, room, fit = open_rooms >> size << size, -1, 0
         while rooms:
             room = (rooms & -rooms).bit_length() - 1
-            bins = by_room[room]
-            for k in range(len(bins) - 1, -1, -1):
-                if not held_clusters[bins[k]] & cluster:
-                    if at < 0:
-                        at = k
-                    if not held_sources[bins[k]] & source or len(bins) - k > 32:
-                        at = k if not held_sources[bins[k]] & source else at
-                        break
-            if at >= 0:
+            if fit := by_room[room] & ~clash:
                 break
             rooms &= rooms - 1
-        if at < 0 and len(held_clusters) >= enough and (rooms := open_rooms >> size << size):
-            room, at = (rooms & -rooms).bit_length() - 1, 0
-        if at >= 0:
-            bins = by_room[room]
-            b = bins[at]
-            bins[at] = bins[-1]
-            bins.pop()
-            if not bins:
+        if not fit and n_bins >= enough and (rooms := open_rooms >> size << size):
+            room = (rooms & -rooms).bit_length() - 1
+            fit = by_room[room]
+        if fit:
+            b = (fit & ~known or fit).bit_length() - 1
+            by_room[room] ^= 1 << b
+            if not by_room[room]:
                 open_rooms &= ~(1 << room)
         else:
-            b, room = len(held_clusters), capacity
-            held_clusters.append(0)
-            held_sources.append(0)
-        held_clusters[b] |= cluster
-        held_sources[b] |= source
-        by_room[room - size].append(b)
+            b, room = n_bins, capacity
+            n_bins += 1
+        if cluster >= 0:
+            with_cluster[cluster] = clash | 1 << b
+        with_source[source] = known | 1 << b
+        by_room[room - size] |= 1 << b
         open_rooms |= 1 << (room - size)
         place[i] = b
     return place
 
 
 def _bits(clusters: np.ndarray, sizes: np.ndarray, capacity: int) -> list[int]:
-    """Bit numbers of the clusters with several items; one with more items than bins are needed gets several bits in turn."""
+    """Numbers of the clusters with several items; of one with more items than bins are needed, each ``needed`` get a number of their own."""
     needed = max(1, -(-int(sizes.sum()) // capacity))
     _, code, count = np.unique(clusters, return_inverse=True, return_counts=True)
     out, bit, turn = [-1] * len(code), {}, {}
     for i, c in enumerate(code.tolist()):
         if count[c] > 1 and sizes[i]:
-            ways = -(-int(count[c]) // needed)
-            turn[c] = (turn.get(c, -1) + 1) % ways
-            out[i] = bit.setdefault((c, turn[c]), len(bit))
+            turn[c] = turn.get(c, -1) + 1
+            out[i] = bit.setdefault((c, turn[c] // needed), len(bit))
     return out
 
 
