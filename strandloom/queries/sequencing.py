@@ -550,6 +550,14 @@ def msa_pairwise_hamming(spark: SparkSession, sf: str) -> DataFrame:
     return kmers.pair_matrix(table(spark, sf, "nation").select(F.col("n_name").alias("seq_id"), F.rpad("n_name", 16, "-").alias("seq")))
 
 
+@query("""with b as (select distinct on (bc_id) bc_id, upper(umi) s from barcode_sets where length(umi) = 20)
+select x.bc_id seq_a, y.bc_id seq_b, hamming(x.s, y.s)::int distance from b x, b y where x.bc_id % 50 = 0""")
+def umi_pairwise_hamming(spark: SparkSession, sf: str) -> DataFrame:
+    """Every 50th UMI of 20 bases with all of them."""
+    rows = table(spark, sf, "barcode_sets").where(F.length("umi") == 20).dropDuplicates(["bc_id"]).select(F.col("bc_id").alias("seq_id"), F.upper("umi").alias("seq"))
+    return kmers.pair_distances(rows.where(F.col("seq_id") % 50 == 0), rows)
+
+
 @query(f"with {R_SQL}, x as (select rec_id, unnest(list_concat([substr(seq, i, 2) for i in range(1, length(seq))], [substr(seq, i, 3) for i in range(1, length(seq) - 1)])) kmer from r) select kmer, count(*) n, count(distinct rec_id) n_reads from x group by 1")
 def kmer_bag(spark: SparkSession, sf: str) -> DataFrame:
     return kmers.kmer_bag(reads(spark, sf), "rec_id", "seq", 2, 3).groupBy("kmer").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_reads"))

@@ -5,6 +5,7 @@ from itertools import product
 
 from pyspark.sql import functions as F
 
+from strandloom.operators import kmers
 from strandloom.queries import sequencing
 
 AT = datetime(2024, 1, 1)
@@ -60,3 +61,9 @@ def test_reads_without_barcode_or_qualities_count_in_sequence_queries(spark, tmp
     assert {r.rec_id: r.decoded for r in q["onehot_all"](spark, sf).collect()} == {1: "ACGTN", 2: "ACG", 4: "TTTT"}
     assert {r.pos: (r.base, round(r.share, 3)) for r in q["msa_consensus_all"](spark, sf).collect()}[0] == ("A", 0.667)
     assert {r.key for r in q["gapped_kmer_all"](spark, sf).collect()} >= {"ACG", "CGT", "TTT"}
+
+
+def test_pair_matrix_above_5000_sequences(spark):
+    msa = spark.range(5001).select(F.col("id").alias("seq_id"), F.lpad(F.col("id").cast("string"), 5, "0").alias("seq"))
+    near = kmers.pair_matrix(msa).where("seq_a >= 4998 and seq_b = 5000")
+    assert {(r.seq_a, r.distance) for r in near.collect()} == {(4998, 4), (4999, 4), (5000, 0)}
