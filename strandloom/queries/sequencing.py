@@ -631,6 +631,15 @@ def iupac_expand(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("seq", F.explode(S.iupac_expansions(F.col("seq"))).alias("expanded"), F.array_join(S.degenerate_codes(F.col("seq")), "").alias("codes"))
 
 
+@query(
+    """with c as (select distinct upper(umi) s from barcode_sets where regexp_full_match(upper(umi), '[ACGTN]+') and contains(upper(umi), 'N'))
+select s as seq, replace(s, 'N', x) as expanded, 'N' as codes from c, (select unnest(['A','C','G','T']) x) e"""
+)
+def iupac_expand_whole(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "barcode_sets").select(F.upper("umi").alias("seq")).where(F.col("seq").rlike("^[ACGTN]+$") & F.contains("seq", F.lit("N"))).distinct()
+    return rows.select("seq", F.explode(S.iupac_expansions(F.col("seq"))).alias("expanded"), F.array_join(S.degenerate_codes(F.col("seq")), "").alias("codes"))
+
+
 @query(f"with {R_SQL} select rec_id, hamming(substr(seq, 1, 12), rpad(substr(barcode, 1, 12), 12, 'N'))::int ham, levenshtein(substr(seq, 1, 12), barcode)::int lev, substr(seq, 3, 5) part, length(regexp_extract(seq, '^A*')) > 0 starts_a from r")
 def distances(spark: SparkSession, sf: str) -> DataFrame:
     head = F.substring("seq", 1, 12)

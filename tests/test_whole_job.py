@@ -67,3 +67,10 @@ def test_pair_matrix_above_5000_sequences(spark):
     msa = spark.range(5001).select(F.col("id").alias("seq_id"), F.lpad(F.col("id").cast("string"), 5, "0").alias("seq"))
     near = kmers.pair_matrix(msa).where("seq_a >= 4998 and seq_b = 5000")
     assert {(r.seq_a, r.distance) for r in near.collect()} == {(4998, 4), (4999, 4), (5000, 0)}
+
+
+def test_an_unread_base_beyond_the_eighth_is_expanded(spark, tmp_path):
+    a, b = "ACGTACGTACNT", "ACGTACGTTTNA"
+    sf = barcode_sets(spark, tmp_path, [(1, 1, a, 1), (2, 1, b, 1), (3, 1, "ACGT", 1)])
+    got = {(r.seq, r.expanded) for r in sequencing.QUERIES["iupac_expand_whole"](spark, sf).collect()}
+    assert got == {(u, u.replace("N", x)) for u in (a, b) for x in "ACGT"}
