@@ -653,7 +653,7 @@ def prefix_matches(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(None)
 def locate_adapter(spark: SparkSession, sf: str) -> DataFrame:
-    hit = locate(F.col("seq"), F.concat(S.reverse_complement(F.substring("barcode", 1, 6)), F.lit(trim.ADAPTERS["read1"])), 0.15)
+    hit = locate(F.col("seq"), F.concat(S.reverse_complement(F.col("barcode")), F.lit(trim.ADAPTERS["read1"])), 0.15)
     return reads(spark, sf).select("rec_id", hit.alias("hit")).where(F.col("hit").isNotNull()).select("rec_id", "hit.*")
 
 

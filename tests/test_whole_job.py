@@ -74,3 +74,12 @@ def test_an_unread_base_beyond_the_eighth_is_expanded(spark, tmp_path):
     sf = barcode_sets(spark, tmp_path, [(1, 1, a, 1), (2, 1, b, 1), (3, 1, "ACGT", 1)])
     got = {(r.seq, r.expanded) for r in sequencing.QUERIES["iupac_expand_whole"](spark, sf).collect()}
     assert got == {(u, u.replace("N", x)) for u in (a, b) for x in "ACGT"}
+
+
+def test_the_adapter_is_located_with_the_whole_barcode(spark, tmp_path):
+    from strandloom.operators.trim import ADAPTERS
+
+    seq = "GATTACAGATTACCA" + "TTGACCGTACGA" + ADAPTERS["read1"]
+    sf = fastq_reads(spark, tmp_path, [(1, seq, "I" * len(seq), "TCGTACGGTCAA")])
+    (hit,) = sequencing.QUERIES["locate_adapter"](spark, sf).collect()
+    assert (hit.ref_start, hit.ref_end, hit.query_start, hit.errors) == (15, len(seq), 0, 0)
