@@ -606,6 +606,16 @@ def gapped_kmer_all(spark: SparkSession, sf: str) -> DataFrame:
     return kmers.gapped_kmers(sequences(spark, sf, 3), "rec_id", "seq", 3, 1).groupBy("key").agg(F.sum("n").alias("n"))
 
 
+@query(
+    f"""with recursive {ALL_SQL}, x as (select substr(seq, i, 6) kmer, count(*) c from (select seq, unnest(range(1, length(seq) - 4)) i from r) group by 1),
+d("key") as (select '' union all select "key" || b from d, (select unnest(['A','C','G','T']) b) e where length("key") < 6)
+select "key", sum(c)::bigint n from x join d on length("key") = 6 and levenshtein(kmer, "key") <= 2 group by 1"""
+)
+def gapped_kmer_six(spark: SparkSession, sf: str) -> DataFrame:
+    """The usual k = 6 and m = 2; k-mers of all reads are counted together before they meet the keys."""
+    return kmers.gapped_kmers(sequences(spark, sf, 6).withColumn("all", F.lit(0)), "all", "seq", 6, 2).select("key", "n")
+
+
 @query(f"with {ALL_SQL} select rec_id, {_RC.format('seq')} rc, translate(seq, 'ACGTN', 'TGCAN') comp from r")
 def revcomp_all(spark: SparkSession, sf: str) -> DataFrame:
     return sequences(spark, sf).select("rec_id", S.reverse_complement(F.col("seq")).alias("rc"), S.complement(F.col("seq")).alias("comp"))
@@ -796,6 +806,29 @@ def normalized_counts(spark: SparkSession, sf: str) -> DataFrame:
     return stats.normalized_counts(_matrix(spark, sf), "gene", "sample", "n").withColumn("normalized", F.round("normalized", 6))
 
 
+def _gene_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """Fragments of each library on each gene's place."""
+    rows = frags(spark, sf).where(F.col("lib_id").isNotNull()).select("lib_id", "chrom", "start", "end")
+    found = intervals.overlaps(rows, _genes(spark, sf), ["chrom"])
+    gene = F.format_string("%s:%d-%d", F.col("l.chrom"), F.col("r.start"), F.col("r.end"))
+    return found.groupBy(gene.alias("gene"), F.col("l.lib_id").alias("sample")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_GENE_MATRIX = f"""with {F_SQL}, {_GENES}, m as (select f.chrom || ':' || gs || '-' || ge gene, lib_id sample, count(*) n from f join g on g.chrom = f.chrom and gs < f."end" and ge > f."start" where lib_id is not null group by 1, 2),
+h as (select gene, avg(ln(n)) mu from m group by 1 having count(*) = (select count(distinct sample) from m)),
+z as (select sample, exp(quantile_cont(ln(n) - mu, 0.5)) sf from m join h using (gene) group by 1)"""
+
+
+@query(_GENE_MATRIX + " select sample, round(sf, 6) size_factor from z")
+def size_factors_genes(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.size_factors(_gene_matrix(spark, sf), "gene", "sample", "n").withColumn("size_factor", F.round("size_factor", 6))
+
+
+@query(_GENE_MATRIX + " select gene, sample, n, round(n / sf, 6) normalized from m join z using (sample)")
+def normalized_counts_genes(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.normalized_counts(_gene_matrix(spark, sf), "gene", "sample", "n").withColumn("normalized", F.round("normalized", 6))
+
+
 _NUMBERS = ["l_quantity", "l_extendedprice", "l_discount"]
 
 

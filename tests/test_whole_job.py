@@ -83,3 +83,18 @@ def test_the_adapter_is_located_with_the_whole_barcode(spark, tmp_path):
     sf = fastq_reads(spark, tmp_path, [(1, seq, "I" * len(seq), "TCGTACGGTCAA")])
     (hit,) = sequencing.QUERIES["locate_adapter"](spark, sf).collect()
     assert (hit.ref_start, hit.ref_end, hit.query_start, hit.errors) == (15, len(seq), 0, 0)
+
+
+def test_gapped_kmers_of_six_bases(spark, tmp_path):
+    sf = fastq_reads(spark, tmp_path, [(1, "ACGTAC", None, None), (2, "ACGTAC", None, None), (3, "ACG", None, None)])
+    got = {r.key: r.n for r in sequencing.QUERIES["gapped_kmer_six"](spark, sf).collect()}
+    assert got["ACGTAC"] == got["ACGTTT"] == 2 and "TTTTTT" not in got
+
+
+def test_size_factors_of_libraries_over_genes(spark, tmp_path):
+    gtf = "rec_id long, chrom string, src_name string, feature_type string, start_pos long, end_pos long, score string, strand string, phase string, info string, loaded_at timestamp"
+    put(spark, tmp_path, "gtf_records", [(i, "chr1", "", "gene", a, a + 99, ".", "+", ".", "", AT) for i, a in ((1, 101), (2, 501))], gtf)
+    places = [(1, 120), (1, 520), *[(5, 120)] * 4, *[(5, 520)] * 4, (5, 900)]
+    sf = fragments(spark, tmp_path, [(i, lib, "chr1", a, a + 20, "+", "A") for i, (lib, a) in enumerate(places)])
+    assert {r.sample: r.size_factor for r in sequencing.QUERIES["size_factors_genes"](spark, sf).collect()} == {1: 0.5, 5: 2.0}
+    assert {(r.gene, r.sample, r.n) for r in sequencing.QUERIES["normalized_counts_genes"](spark, sf).collect()} == {("chr1:100-200", 1, 1), ("chr1:100-200", 5, 4), ("chr1:500-600", 1, 1), ("chr1:500-600", 5, 4)}
