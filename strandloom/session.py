@@ -8,6 +8,7 @@ re-read and nothing else.
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _written: dict[str, SparkSession] = {}
 _shipped: set[str] = set()
+_temporary: list[str] = []
 
 
 def local_session(app: str = "strandloom", cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -47,7 +49,8 @@ def ship_package(spark: SparkSession) -> None:
     if app in _shipped:
         return
     package = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="strandloom-")) / "strandloom.zip"
+    # Executors that start later fetch the archive too, so it stays until exit.
+    archive = Path(_temporary_folder()) / "strandloom.zip"
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
         for path in sorted(package.rglob("*.py")):
             out.write(path, path.relative_to(package.parent))
@@ -55,6 +58,11 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def _temporary_folder() -> str:
+    _temporary.append(tempfile.mkdtemp(prefix="strandloom-"))
+    return _temporary[-1]
+
+
 def scratch_root(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; in local mode a temporary folder stands in when it is unset.
 
@@ -67,20 +75,23 @@ def scratch_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not sc.master.startswith("local[") and sc.master != "local":
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="strandloom-")
+    root = _temporary_folder()
     spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
-def settle(df: DataFrame, tag: str = "step") -> DataFrame:
+def settle(df: DataFrame, tag: str = "step", parts: str | None = None) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: lineage ends here.
 
     A written table also tells the optimiser its size, which a checkpointed RDD
-    does not. Folders are removed by :func:`drop_settled` or at exit.
+    does not. ``parts`` names a column whose values become folders of their
+    own, so that reading one value reads nothing else. Folders are removed by
+    :func:`drop_settled` or at exit.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/strandloom-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(parts) if parts else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_at = path
     _written[path] = spark
@@ -109,6 +120,8 @@ def _clear() -> None:
             _delete(spark, path)
         except Exception:  # noqa: BLE001 - the JVM may be gone already
             pass
+    for folder in _temporary:
+        shutil.rmtree(folder, ignore_errors=True)
 
 
 def partitions(spark: SparkSession) -> int:
