@@ -1,15 +1,19 @@
 """Top N items within every group, by descending score bands.
 
-Quantiles of the score over all rows cut it into bands. From the top band down,
-the rows of groups that higher bands have filled are anti-joined away, and the
-rest of a band is ranked exactly. A group's boundary band is the one in which
-it fills; the last ranking orders what the bands kept.
+1. Quantiles of the score over all rows give the bounds of the bands.
+2. Copies collapse to one row of (group, score, item), combined before the
+   shuffle, and the rows are written range-partitioned by band.
+3. From the top band down: the rows of groups that higher bands have filled are
+   anti-joined away first, and only what is left is ranked, so a group's items
+   below the band in which it fills are read once and never ranked. Groups
+   without their N after a band go on to the next.
+4. The items that the bands kept, at most N a group and band, get their place.
 
-Inside a band the ranking is first per (group, salt), with Spark's group limit
-cutting each map task's output to N rows a group and salt, then per group: of
-a group with millions of items at most ``salts * n`` rows meet in a task, and
-the anti-join never sees its bulk. The salt is a hash of the item, so copies of
-an item meet and count once.
+The ranking of a band is first per (group, salt), with Spark's group limit
+cutting each task's output to N rows a group and salt before the shuffle, then
+per group: of a group with millions of items at most ``salts * n`` rows meet in
+its last task. The anti-join's looked-up side has one row a group, so a hot
+group skews only the other side, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -20,22 +24,22 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.session import settle
+from strandloom.session import drop_settled, settle
 
 
 def _best(rows: DataFrame, by: list[str], n: int) -> DataFrame:
     order = Window.partitionBy(*by).orderBy(F.col("s").desc(), F.col("i"))
-    return rows.withColumn("place", F.dense_rank().over(order)).where(F.col("place") <= n).drop("place").dropDuplicates([*by, "s", "i"])
+    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).drop("place")
 
 
-def _bands(rows: DataFrame, shares: Sequence[float]) -> list[Column]:
-    """Conditions on the score from the top band down; together they hold for every row."""
+def _band(rows: DataFrame, shares: Sequence[float]) -> tuple[Column, int]:
+    """The number of a score's band, 0 the highest, and how many bands there are."""
     cuts = rows.agg(F.percentile_approx("s", [1.0 - x for x in sorted(shares)], 10_000)).first()[0] or []
     cuts = sorted(set(cuts), reverse=True)
-    if not cuts:
-        return [F.lit(True)]
-    middle = [(F.col("s") < hi) & (F.col("s") >= lo) for hi, lo in zip(cuts, cuts[1:])]
-    return [F.col("s") >= cuts[0], *middle, F.col("s") < cuts[-1]]
+    number = F.lit(len(cuts))
+    for k, cut in reversed(list(enumerate(cuts))):
+        number = F.when(F.col("s") >= cut, k).otherwise(number)
+    return number, len(cuts) + 1
 
 
 def top_per_group(df: DataFrame, group: str, score: str, item: str, n: int, *, shares: Sequence[float] = (1 / 64, 1 / 8), salts: int = 16) -> DataFrame:
@@ -50,16 +54,18 @@ def top_per_group(df: DataFrame, group: str, score: str, item: str, n: int, *, s
     if "pick_no" in (group, score, item):
         raise ValueError("a column must not be named pick_no")
     rows = df.select(df[group].alias("g"), df[score].alias("s"), df[item].alias("i")).dropna()
+    band, bands = _band(rows, shares)
+    spread = settle(rows.distinct().withColumn("band", band), "bands", parts="band")
     held: list[DataFrame] = []
-    bands = _bands(rows, shares)
-    for k, band in enumerate(bands):
-        salted = rows.where(band).withColumn("salt", F.pmod(F.xxhash64("i"), F.lit(salts)))
-        kept = _best(salted, ["g", "salt"], n).drop("salt")
+    for k in range(bands):
+        left = spread.where(F.col("band") == k).drop("band")
         if held:
             filled = reduce(DataFrame.unionByName, held).groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= n)
-            kept = kept.join(filled.select("g"), "g", "left_anti")
-        kept = _best(kept, ["g"], n)
-        held.append(settle(kept, "band") if k < len(bands) - 1 else kept)
+            left = left.join(filled.select("g"), "g", "left_anti")
+        salted = left.withColumn("salt", F.pmod(F.xxhash64("i"), F.lit(salts)))
+        held.append(settle(_best(_best(salted, ["g", "salt"], n).drop("salt"), ["g"], n), "band"))
     order = Window.partitionBy("g").orderBy(F.col("s").desc(), F.col("i"))
     ranked = reduce(DataFrame.unionByName, held).withColumn("pick_no", F.row_number().over(order)).where(F.col("pick_no") <= n)
-    return ranked.select(F.col("g").alias(group), F.col("i").alias(item), F.col("s").alias(score), "pick_no")
+    out = settle(ranked.select(F.col("g").alias(group), F.col("i").alias(item), F.col("s").alias(score), "pick_no"), "top")
+    drop_settled(spread, *held)
+    return out
