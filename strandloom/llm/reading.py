@@ -5,11 +5,13 @@ frequent words (by document frequency over all documents), average sentence
 length, and, because the share of unfamiliar words alone can't tell bands of
 different languages apart, how familiar the listed words are to each band: the
 document frequency of a word in texts of a band, over all marked texts. The
-weights are those of a softmax regression on a bounded sample of marked texts.
+weights are those of a softmax regression on a bounded sample of marked texts;
+a marked text's own words don't count for its band while weights are fitted.
 
-The corpus is read in two passes of Arrow batches, one for frequencies (each
-task adds up its words before the shuffle) and one for the bands. The driver
-and the workers hold the list only, ``listed`` words at most.
+The corpus is read in two passes of Arrow batches. The first counts documents
+by word (each task adds up its words before the shuffle) and keeps the marked
+texts, in one written table; the second judges. The driver and the workers hold
+the list only, ``listed`` words at most.
 """
 
 from __future__ import annotations
@@ -23,10 +25,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from strandloom.session import drop_settled, settle
 
 BANDS = 4
 #: Lists of the most frequent words, by size, outside which a word counts as unfamiliar.
 TIERS = (50, 200, 800, 2000)
+#: Added to a word's count in each band.
+SMOOTHING = 0.3
 _TAG, _LINK, _WORD = re.compile(r"<[^<>]*>"), re.compile(r"https?://\S+"), re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[.!?。]+\s|\n+|<br\s*/?>")
 _BROKEN = re.compile("[ÃÂâ][\u0080-¿‐-›€Œ-ƒ]")
@@ -46,46 +53,80 @@ def sentence_length(text: str) -> float:
     return sum(sizes) / len(sizes) if sizes else 0.0
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``word, n, b1..b4``: documents with the word, in all and marked with each band; the empty word counts documents."""
-    held: dict[str, list[int]] = defaultdict(lambda: [0] * (BANDS + 1))
+_COUNTS = ["word", "n", *[f"b{k}" for k in range(1, BANDS + 1)]]
+
+
+def _first_pass(least_words: int, kind: pa.DataType):
+    """``word, n, b1..b4``: documents with the word, in all and marked with each band; the empty word counts documents. Besides, ``doc, text, band`` of marked texts."""
 
-    def flush() -> pa.RecordBatch:
-        counts = np.array(list(held.values()), np.int64).reshape(-1, BANDS + 1)
-        out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), *[pa.array(counts[:, k]) for k in range(BANDS + 1)]], ["word", "n", *[f"b{k}" for k in range(1, BANDS + 1)]])
-        held.clear()
-        return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[int]] = defaultdict(lambda: [0] * (BANDS + 1))
 
-    for batch in batches:
-        for text, band in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for word in {"", *plain_words(text)}:
-                counts = held[word]
-                counts[0] += 1
+        def flush() -> pa.RecordBatch:
+            n = len(held)
+            counts = np.array(list(held.values()), np.int64).reshape(-1, BANDS + 1)
+            out = [pa.array(held.keys(), pa.string()), *[pa.array(counts[:, k]) for k in range(BANDS + 1)], pa.nulls(n, kind), pa.nulls(n, pa.string()), pa.nulls(n, pa.int32())]
+            held.clear()
+            return pa.RecordBatch.from_arrays(out, [*_COUNTS, "doc", "text", "band"])
+
+        for batch in batches:
+            marked = []
+            for i, (text, band) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                if len(text.split()) < least_words:
+                    continue
                 if band is not None:
-                    counts[band] += 1
-        if len(held) > 200_000:
+                    marked.append(i)
+                for word in {"", *plain_words(text)}:
+                    counts = held[word]
+                    counts[0] += 1
+                    if band is not None:
+                        counts[band] += 1
+            if marked:
+                some = batch.take(pa.array(marked))
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(marked), pa.string()), *[pa.nulls(len(marked), pa.int64())] * (BANDS + 1), some.column(0).cast(kind), some.column(1).cast(pa.string()), some.column(2).cast(pa.int32())], [*_COUNTS, "doc", "text", "band"])
+            if len(held) > 200_000:
+                yield flush()
+        if held:
             yield flush()
-    if held:
-        yield flush()
 
+    return run
 
-class _Features:
-    """From a text to the terms of the formula, given the list of words."""
 
-    def __init__(self, words: list[str], counts: np.ndarray, totals: np.ndarray):
-        share = np.log((counts + 0.3) / (totals + 0.3 * BANDS))
-        share -= share.mean(axis=1, keepdims=True)
-        self.rank = {w: i for i, w in enumerate(words)}
-        self.share = np.vstack([share, np.zeros((1, BANDS))])
+class Formula:
+    """From texts to the terms of the formula, given the listed words and their counts by band."""
 
-    def __call__(self, text: str) -> np.ndarray:
-        words = plain_words(text)
-        ranks = np.fromiter((self.rank.get(w, len(self.rank)) for w in words), np.int64, len(words))
-        known = ranks[ranks < len(self.rank)]
-        familiar = self.share[known].mean(axis=0) if len(known) else self.share[-1]
-        outside = [float((ranks >= t).mean()) if len(words) else 1.0 for t in TIERS]
-        length = sum(map(len, words)) / (5 * len(words)) if words else 0.0
-        return np.array([1.0, np.log1p(sentence_length(text)), length, *outside, *familiar])
+    def __init__(self, words: list[str], counts: np.ndarray, totals: np.ndarray, by_band: bool = True):
+        self.rank = {w: i for i, w in enumerate(words)}
+        self.counts, self.totals, self.by_band = counts.reshape(-1, BANDS), totals, by_band
+        self.share = self._shares(self.counts, totals)
+
+    @staticmethod
+    def _shares(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+        share = np.log((counts + SMOOTHING) / (totals + SMOOTHING * BANDS))
+        return share - share.mean(axis=-1, keepdims=True)
+
+    def terms(self, texts: list[str], bands: list[int] | None = None) -> np.ndarray:
+        """A row a text. With ``bands``, each text is left out of the counts of its own."""
+        n, miss = len(texts), len(self.rank)
+        ranks, sizes, letters, sentences = [], np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+        for i, text in enumerate(texts):
+            words = plain_words(text)
+            ranks += [self.rank.get(w, miss) for w in words]
+            sizes[i], letters[i], sentences[i] = len(words), sum(map(len, words)), sentence_length(text)
+        flat, owner, some = np.array(ranks, np.int64), np.repeat(np.arange(n), sizes), np.maximum(sizes, 1)
+        outside = [np.where(sizes > 0, np.bincount(owner, flat >= t, n) / some, 1.0) for t in TIERS]
+        columns = [np.ones(n), np.log1p(sentences), letters / (5 * some), *outside]
+        if self.by_band:
+            listed = flat < miss
+            flat, owner = flat[listed], owner[listed]
+            if bands is None:
+                share = self.share[flat]
+            else:
+                own = np.eye(BANDS)[np.asarray(bands, np.int64)[owner] - 1]
+                share = self._shares(self.counts[flat] - own, self.totals - own)
+            known = np.maximum(np.bincount(owner, minlength=n), 1)
+            columns += [np.bincount(owner, share[:, k], n) / known for k in range(BANDS)]
+        return np.stack(columns, axis=1)
 
 
 def _softmax_fit(x: np.ndarray, y: np.ndarray, steps: int = 600, decay: float = 1e-3) -> np.ndarray:
@@ -103,11 +144,6 @@ def _softmax_fit(x: np.ndarray, y: np.ndarray, steps: int = 600, decay: float =
     return w
 
 
-def _texts_of(df: DataFrame, doc: str, text: str, least_words: int) -> DataFrame:
-    rows = df.select(df[doc].alias("doc"), df[text].cast("string").alias("text")).where(F.col("text").isNotNull() & F.col("doc").isNotNull())
-    return rows.where(F.size(F.split(F.regexp_replace("text", r"(?U)\A\s+|\s+\z", ""), r"(?U)\s+")) >= least_words)
-
-
 def _marks(labels: DataFrame, doc: str, band: str) -> DataFrame:
     """The band that most raters of a document gave; documents without one are left out."""
     votes = labels.select(labels[doc].alias("doc"), labels[band].cast("int").alias("band")).where(F.col("doc").isNotNull() & F.col("band").between(1, BANDS)).groupBy("doc", "band").agg(F.count(F.lit(1)).alias("n"))
@@ -115,42 +151,52 @@ def _marks(labels: DataFrame, doc: str, band: str) -> DataFrame:
     return best.where(F.col("top.band") == -F.col("low.col2")).select("doc", F.col("top.band").alias("band"))
 
 
-def reading_bands(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", band: str = "band", *, least_words: int = 15, listed: int = 20_000, sample: int = 20_000) -> DataFrame:
+def reading_bands(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", band: str = "band", *, least_words: int = 15, listed: int = 20_000, sample: int = 20_000, by_band: bool = True) -> DataFrame:
     """``doc, band``: the band (1 easiest to 4) of every text of ``least_words`` or more words, separated by white space.
 
     Bands outside 1 to 4 and null marks count for nothing; documents whose
     raters are evenly split train nothing. ``listed`` bounds the word list and
-    ``sample`` the marked texts that weights are fitted on (those of smallest
-    hash); frequencies, also those in marked texts, are over all documents.
-    Without a marked text every band is null. Null texts give no row; rows of
-    one document each get theirs. Other columns are not read.
+    ``sample`` the marked documents that weights are fitted on (those of
+    smallest hash); frequencies, also those in marked texts, are over all
+    documents. Without ``by_band`` the formula has unfamiliar words, sentence
+    and word length only. Without a marked text every band is null. Null texts
+    give no row; rows of one document each get theirs, and one of them trains.
+    Other columns are not read.
     """
     spark = docs.sparkSession
-    texts = _texts_of(docs, doc, text, least_words)
-    marked = texts.join(_marks(labels, doc, band), "doc", "left")
-    sums = [F.sum(c).alias(c) for c in ("n", *[f"b{k}" for k in range(1, BANDS + 1)])]
-    counted = marked.select("text", "band").mapInArrow(_count, "word string, n long, b1 long, b2 long, b3 long, b4 long").groupBy("word").agg(*sums)
+    rows = docs.select(docs[doc].alias("doc"), docs[text].cast("string").alias("text")).where(F.col("text").isNotNull() & F.col("doc").isNotNull())
+    kind = rows.schema["doc"].dataType
+    marked = rows.join(_marks(labels, doc, band), "doc", "left").select("doc", "text", "band")
+    seen = settle(marked.mapInArrow(_first_pass(least_words, to_arrow_type(kind)), f"word string, {', '.join(f'{c} long' for c in _COUNTS[1:])}, doc {kind.simpleString()}, text string, band int"), "words")
+    counted = seen.where(F.col("word").isNotNull()).groupBy("word").agg(*[F.sum(c).alias(c) for c in _COUNTS[1:]])
     words = counted.orderBy(F.col("n").desc(), "word").limit(listed + 1).collect()
-    totals = np.array([[r[f"b{k}"] for k in range(1, BANDS + 1)] for r in words if r.word == ""] or [[0] * BANDS], float)[0]
-    kind = texts.schema["doc"].dataType.simpleString()
-    if not totals.sum():
-        return texts.select(F.col("doc").alias(doc), F.lit(None).cast("int").alias("band"))
-    listing = [r for r in words if r.word and r.n >= 3] or [r for r in words if r.word]
-    made = _Features([r.word for r in listing], np.array([[r[f"b{k}"] for k in range(1, BANDS + 1)] for r in listing], float).reshape(-1, BANDS), totals)
-    shared = spark.sparkContext.broadcast(made)
+    counts = np.array([[r[c] for c in _COUNTS[2:]] for r in words], float).reshape(-1, BANDS)
+    totals = counts[[r.word == "" for r in words]].sum(axis=0)
+    chosen = [i for i, r in enumerate(words) if r.word][:listed]
+    shared = spark.sparkContext.broadcast(Formula([words[i].word for i in chosen], counts[chosen], totals, by_band))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [shared.value(t).tolist() for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1).cast(pa.int32())], ["x", "y"])
+            bands = batch.column(1).to_pylist()
+            terms = shared.value.terms(batch.column(0).to_pylist(), bands).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.list_(pa.float64())), pa.array(bands, pa.int32())], ["x", "y"])
 
-    picked = marked.where(F.col("band").isNotNull()).select("doc").orderBy(F.xxhash64("doc"), "doc").limit(sample)
-    seen = marked.where(F.col("band").isNotNull()).join(F.broadcast(picked.distinct()), "doc", "left_semi").select("text", "band").mapInArrow(features, "x array<double>, y int").limit(2 * sample).collect()
-    weights = _softmax_fit(np.array([r.x for r in seen]), np.array([r.y for r in seen]))
+    marks = seen.where(F.col("text").isNotNull()).groupBy("doc").agg(F.min("text").alias("text"), F.min("band").alias("band"))
+    picked = marks.select("doc").orderBy(F.xxhash64("doc"), "doc").limit(sample)
+    sampled = marks.join(F.broadcast(picked), "doc", "left_semi").select("text", "band").mapInArrow(features, "x array<double>, y int").collect()
+    drop_settled(seen)
+    weights = _softmax_fit(np.array([r.x for r in sampled]), np.array([r.y for r in sampled])) if sampled else None
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bands = [int((shared.value(t) @ weights).argmax()) + 1 for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bands, pa.int32())], ["doc", "band"])
-
-    return texts.mapInArrow(judge, f"doc {kind}, band int").withColumnRenamed("doc", doc)
+            for start in range(0, batch.num_rows, 2000):
+                part = batch.slice(start, 2000)
+                texts = part.column(1).to_pylist()
+                kept = [i for i, t in enumerate(texts) if len(t.split()) >= least_words]
+                if weights is None:
+                    bands = pa.nulls(len(kept), pa.int32())
+                else:
+                    bands = pa.array((shared.value.terms([texts[i] for i in kept]) @ weights).argmax(axis=1) + 1, pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(kept, pa.int64())), bands], ["doc", "band"])
+
+    return rows.mapInArrow(judge, f"doc {kind.simpleString()}, band int").withColumnRenamed("doc", doc)
