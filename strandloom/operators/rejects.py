@@ -37,7 +37,7 @@ def _items(value: Column) -> Column:
 
 
 def _gene_id(value: Column) -> Column:
-    pieces = F.regexp_extract_all(value, F.lit(ATTRIBUTE_NOTATIONS[0].piece), F.lit(0))
+    pieces = ATTRIBUTE_NOTATIONS[0].pieces(value)
     good = rf'''(?s)\A\s*gene_id(?:\s*=\s*|\s+(?=["']))(?!""\s*\z|''\s*\z)(?:{QUOTED}|[^"'\s].*?)\s*\z'''
     return F.exists(pieces, lambda p: p.rlike(good))
 
