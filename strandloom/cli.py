@@ -18,14 +18,27 @@ from strandloom.session import ship_package
 from strandloom.sources import sequences, sinks, tables
 
 
+def _is_bam(path: str) -> bool:
+    return path.rstrip("*/").endswith(".bam")
+
+
 def _alignments(spark: SparkSession, path: str) -> DataFrame:
-    return sequences.read_bam(spark, path) if path.rstrip("*/").endswith(".bam") else tables.read_sam(spark, path)
+    return sequences.read_bam(spark, path) if _is_bam(path) else tables.read_sam(spark, path)
+
+
+def _write_buckets(spark: SparkSession, df: DataFrame, a: argparse.Namespace, columns: list[str], buckets: list[str]) -> None:
+    if a.format == "parquet":
+        sinks.write_split(df, a.output)
+        return
+    if "flag1" in df.columns:
+        df = pairs.unpair(df, [c for c in columns if c != "qname"], ["bucket"])
+    sinks.write_split_alignments(df.select(*columns, "bucket"), a.output, _header(spark, a.input), buckets, bam=a.format == "bam")
 
 
 def _header(spark: SparkSession, path: str) -> list[str]:
-    """The header lines of SAM text, a few for each reference."""
-    if path.rstrip("*/").endswith(".bam"):
-        return []
+    """The header lines of SAM text or BAM files, a few for each reference."""
+    if _is_bam(path):
+        return sequences.bam_header(path)
     return [r.line for r in tables.read_sam_header(spark, path).orderBy("file", "line_no").select("line").collect()]
 
 
@@ -122,18 +135,19 @@ def filter_multi(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def splice_bam(spark: SparkSession, a: argparse.Namespace) -> None:
-    sinks.write_split(pairs.route_spliced(pairs.mates_in_order(_alignments(spark, a.input), "ordinal")), a.output)
+    rows = _alignments(spark, a.input)
+    _write_buckets(spark, pairs.route_spliced(pairs.mates_in_order(rows)), a, rows.columns, ["split", "fragment"])
 
 
 def split_bam(spark: SparkSession, a: argparse.Namespace) -> None:
     rows = _alignments(spark, a.input)
     out = pairs.route_unique_single(rows, a.program) if a.single else pairs.route_unique(pairs.mates_in_order(rows, "ordinal"), a.program)
-    sinks.write_split(out, a.output)
+    _write_buckets(spark, out, a, rows.columns, ["unique", "multi"])
 
 
 def pileup_command(spark: SparkSession, a: argparse.Namespace) -> None:
     options = {"min_qual": a.qual, "crop": a.crop, "min_cov": a.cov, "no_indel": a.no_indel, "direction": a.direction}
-    piled = pipelines.base_counts(_alignments(spark, a.input), sequences.read_fasta(spark, a.fasta).withColumn("seq_id", F.split("seq_id", r"\s")[0]), **options)
+    piled = pipelines.base_counts(_alignments(spark, a.input), sequences.read_fasta(spark, a.fasta, tile=pileup.TILE).withColumn("seq_id", F.split("seq_id", r"\s")[0]), **options)
     sinks.write_tsv(piled.orderBy("chrom", "pos"), a.output, header=True)
     if a.bed and a.consensus:
         sinks.write_fasta(pipelines.strand_fasta(piled, tables.read_regions(spark, a.bed)), a.consensus)
@@ -170,8 +184,9 @@ def parser() -> argparse.ArgumentParser:
     add("mergepe", merge_pe, *io, arg("-m", "--min_overlap", type=int, default=15), arg("-e", "--error", type=float, default=0.1), arg("-a", "--all", **yes), arg("--highlight", **yes), arg("-c", "--conserved", **yes), help="overlapping mates into one read")
     add("calcUMI", calc_umi, *io, arg("-u", "--umi", type=int, default=6), arg("-p", "--prefix", default="frag"), help="molecules behind saturated UMIs")
     add("filterMulti", filter_multi, *io, arg("-g", "--genes"), arg("--single", **yes), help="one alignment of multi-mapped reads")
-    add("spliceBam", splice_bam, *io, help="spliced pairs apart from others")
-    add("splitBam", split_bam, *io, arg("-p", "--program", choices=["bowtie2", "hisat2"], default="bowtie2"), arg("--single", **yes), help="unique pairs apart from multi-mapped ones")
+    form = arg("--format", choices=["sam", "bam", "parquet"], default="parquet")
+    add("spliceBam", splice_bam, *io, form, help="spliced pairs apart from others")
+    add("splitBam", split_bam, *io, arg("-p", "--program", choices=["bowtie2", "hisat2"], default="bowtie2"), arg("--single", **yes), form, help="unique pairs apart from multi-mapped ones")
     add("pileup", pileup_command, *io, arg("-f", "--fasta", required=True), arg("-q", "--qual", type=int, default=30), arg("-c", "--crop", type=int, default=0), arg("--cov", type=int, default=0), arg("--no_indel", **yes), arg("-d", "--direction", choices=["fr", "rf", "U"], default="fr"), arg("-b", "--bed"), arg("--consensus"), help="stranded base counts")
     return top
 

@@ -17,16 +17,17 @@ def tagged_families(alignments: DataFrame, tag: str = "RX", mode: str = "prob",
     """Consensus pairs of families of one tag and one place: ``tag members chrom1 pos1 reverse1 seq1 qual1 chrom2 ...``.
 
     Reads are those whose flags may enter a family. Without ``order`` reads of
-    exactly one tag are a family; with it, runs in that order of tags within
-    ``mismatches`` of the run's first, named by that first tag. Families split
+    exactly one tag are a family; with it, runs in that order of each file of
+    tags within ``mismatches`` of the run's first, named by that first tag. Families split
     by both mates' place and strand. ``mode`` is prob or vote (at 0.8).
     Consensus reads stand as the sequencer read them.
     """
     rows = alignments.where(G.clustered(F.col("flag"))).withColumn("tag__", F.col("tags")[tag]).where(F.col("tag__").isNotNull())
     if order:
-        rows = tag_runs(rows, order, "tag__", (), mismatches)
-        first = rows.groupBy("run").agg(F.min_by("tag__", order).alias("family_tag"))
-        rows = rows.join(first, "run").withColumn("family", F.concat_ws(":", F.col("run").cast("string"), F.col("family_tag"))).drop("run")
+        file = ["file"] if "file" in rows.columns else []
+        rows = tag_runs(rows, order, "tag__", file, mismatches)
+        first = rows.groupBy(*file, "run").agg(F.min_by("tag__", order).alias("family_tag"))
+        rows = rows.join(first, [*file, "run"]).withColumn("family", F.concat_ws(":", *file, F.col("run").cast("string"), F.col("family_tag"))).drop("run")
     else:
         rows = rows.withColumns({"family_tag": F.col("tag__"), "family": F.col("tag__")})
     one = rows.where(G.has(F.col("flag"), G.READ1)).select("qname", "family", "family_tag", F.col("rname").alias("chrom1"), F.col("pos").alias("pos1"), G.has(F.col("flag"), G.REVERSE).alias("reverse1"), F.col("seq").alias("seq1"), F.col("qual").alias("qual1"))

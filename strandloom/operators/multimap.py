@@ -48,14 +48,14 @@ def best_single(df: DataFrame, order: str) -> DataFrame:
 
     The only one of the least matched bases; else the only ribosomal or
     mitochondrial one; else the first on a regular chromosome; else the first,
-    by ``order``.
+    by ``order``. Candidates are kept in aggregates that combine before their
+    shuffle, so a name may have any number of alignments.
     """
-    by = Window.partitionBy("qname")
-    rows = df.withColumns({"size__": C.mapped_length(F.col("cigar")), "ribo__": G.ribosomal_or_mitochondrial(F.col("rname")), "plain__": G.regular_chrom(F.col("rname"))})
-    rows = rows.withColumn("least__", F.col("size__") == F.min("size__").over(by))
-    many = lambda c: F.sum(F.col(c).cast("int")).over(by)
-    wanted = F.when(many("least__") == 1, F.col("least__")).when(many("ribo__") == 1, F.col("ribo__")).when(many("plain__") > 0, F.col("plain__")).otherwise(F.lit(True))
-    chosen = rows.withColumn("wanted__", wanted)
-    place = F.row_number().over(by.orderBy(F.col("wanted__").desc(), order))
-    out = chosen.withColumn("place__", place).where(F.col("place__") == 1)
-    return out.withColumn("flag", G.fixed_single_flag(F.col("flag"))).drop("size__", "ribo__", "plain__", "least__", "wanted__", "place__")
+    whole = F.struct(*[F.col(c) for c in df.columns])
+    rows = df.select("qname", F.col(order).alias("at"), C.mapped_length(F.col("cigar")).alias("size"), G.ribosomal_or_mitochondrial(F.col("rname")).alias("ribo"), G.regular_chrom(F.col("rname")).alias("plain"), whole.alias("row"))
+    first = lambda c: F.min_by("row", F.when(c, F.col("at")))
+    sized = rows.groupBy("qname", "size").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("at"), first(F.lit(True)).alias("any"), F.count_if("ribo").alias("n_ribo"), F.min(F.when(F.col("ribo"), F.col("at"))).alias("at_ribo"), first(F.col("ribo")).alias("ribo"), F.min(F.when(F.col("plain"), F.col("at"))).alias("at_plain"), first(F.col("plain")).alias("plain"))
+    named = sized.groupBy("qname").agg(F.min_by(F.struct("n", "any"), "size").alias("least"), F.sum("n_ribo").alias("n_ribo"), F.min_by("ribo", "at_ribo").alias("ribo"), F.min("at_plain").alias("at_plain"), F.min_by("plain", "at_plain").alias("plain"), F.min_by("any", "at").alias("any"))
+    chosen = F.when(F.col("least.n") == 1, F.col("least.any")).when(F.col("n_ribo") == 1, F.col("ribo")).when(F.col("at_plain").isNotNull(), F.col("plain")).otherwise(F.col("any"))
+    out = named.select(chosen.alias("row")).select("row.*")
+    return out.withColumn("flag", G.fixed_single_flag(F.col("flag")))

@@ -7,11 +7,14 @@ on the read name, never by their order in a file.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import cigar as C
 from strandloom.functions import flags as G
+from strandloom.operators.ordered import places_within
 
 
 def _side(df: DataFrame, bit: int, suffix: str) -> DataFrame:
@@ -29,14 +32,18 @@ def mates(df: DataFrame) -> DataFrame:
     return _side(named, G.READ1, "1").join(_side(named, G.READ2, "2"), "qname")
 
 
-def mates_in_order(df: DataFrame, order: str) -> DataFrame:
-    """Like :func:`mates`, with the k-th alignment of read 1 beside the k-th of read 2 by ``order``: no combinations."""
-    from pyspark.sql import Window
+def mates_in_order(df: DataFrame, order: str = "ordinal") -> DataFrame:
+    """Like :func:`mates`, with the k-th alignment of read 1 beside the k-th of read 2 of the same file by ``order``: no combinations.
 
-    place = F.row_number().over(Window.partitionBy("qname", G.has(F.col("flag"), G.READ1)).orderBy(order))
-    named = df.withColumn("qname", F.split("qname", "/")[0]).withColumn("nth", place)
-    one, two = _side(named, G.READ1, "1"), _side(named, G.READ2, "2")
-    return one.withColumnRenamed("nth1", "nth").join(two.withColumnRenamed("nth2", "nth"), ["qname", "nth"]).drop("nth")
+    Frames without a ``file`` are one file. A name may hold any share of the
+    rows; a read's alignment without a counterpart gives none.
+    """
+    named = df.withColumn("qname", F.split("qname", "/")[0]).withColumn("first__", G.has(F.col("flag"), G.READ1))
+    named = named if "file" in df.columns else named.withColumn("file", F.lit(""))
+    placed = places_within(named, ["file", "qname", "first__"], [order], "nth__")
+    one, two = (_side(placed.drop("first__"), bit, k) for bit, k in ((G.READ1, "1"), (G.READ2, "2")))
+    pairs = one.join(two.withColumnRenamed("qname", "name__"), (F.col("qname") == F.col("name__")) & (F.col("file1") == F.col("file2")) & (F.col("nth__1") == F.col("nth__2")))
+    return pairs.drop("name__", "nth__1", "nth__2", *([] if "file" in df.columns else ["file1", "file2"]))
 
 
 def fragments(pairs: DataFrame, *, min_size: int = 0, max_size: int = 1_000_000, only_primary: bool = False, tag: str | None = None, add_cigar: bool = False, prefix: str = "", strict_strand: bool = False) -> DataFrame:
@@ -61,6 +68,23 @@ def fragments(pairs: DataFrame, *, min_size: int = 0, max_size: int = 1_000_000,
     return out.where(length.between(min_size, max_size)).select(*columns)
 
 
+def single_fragments(df: DataFrame, *, min_size: int = 0, max_size: int = 1_000_000, tag: str | None = None, add_cigar: bool = False, prefix: str = "") -> DataFrame:
+    """BED fragments of alignments taken one by one: ``chrom start end name length strand`` and, if asked, ``tag`` and ``cigar``.
+
+    A fragment is the stretch of the reference that the alignment spans, on its
+    own strand. Unmapped reads and lengths outside ``min_size`` to ``max_size``
+    give no row. A prefix and a colon come before the name.
+    """
+    start, end = F.col("pos"), F.col("pos") + C.reference_length(F.col("cigar"))
+    rows = df.where(~G.has(F.col("flag"), G.UNMAPPED) & (end - start).between(min_size, max_size))
+    columns = [F.col("rname").alias("chrom"), start.alias("start"), end.alias("end"), F.concat(F.lit(f"{prefix}:" if prefix else ""), "qname").alias("name"), (end - start).alias("length"), F.when(G.has(F.col("flag"), G.REVERSE), "-").otherwise("+").alias("strand")]
+    if tag:
+        columns.append(F.col("tags")[tag].alias("tag"))
+    if add_cigar:
+        columns.append("cigar")
+    return rows.select(*columns)
+
+
 def _agreed(one: Column, two: Column) -> Column:
     a, b = one.try_cast("double"), two.try_cast("double")
     larger = F.when(a >= b, one).otherwise(two)
@@ -81,10 +105,10 @@ def with_mate_tags(pairs: DataFrame) -> DataFrame:
     return pairs.where(G.concordant_pair(F.col("flag1"), F.col("flag2"))).withColumns({"tags1": add(1, 2), "tags2": add(2, 1)})
 
 
-def unpair(pairs: DataFrame, columns: list[str]) -> DataFrame:
-    """The mates of each pair as rows again, read 1 first under ``mate`` 1 and 2."""
+def unpair(pairs: DataFrame, columns: list[str], kept: Sequence[str] = ()) -> DataFrame:
+    """The mates of each pair as rows again, read 1 first under ``mate`` 1 and 2; columns of the pair may be ``kept``."""
     side = lambda k: F.struct(F.lit(k).alias("mate"), *[F.col(f"{c}{k}").alias(c) for c in columns])
-    return pairs.select("qname", F.explode(F.array(side(1), side(2))).alias("x")).select("qname", "x.*")
+    return pairs.select("qname", *kept, F.explode(F.array(side(1), side(2))).alias("x")).select("qname", *kept, "x.*")
 
 
 def route_unique(pairs: DataFrame, rule: str = "bowtie2") -> DataFrame:
@@ -143,9 +167,18 @@ def interleaved_pairs(reads: DataFrame) -> DataFrame:
 
 
 def zipped_pairs(reads1: DataFrame, reads2: DataFrame) -> DataFrame:
-    """Records of two FASTQ files side by side by ordinal: ``pair, r1, r2``; what one file has beyond the other is left out."""
-    pick = lambda df, name: df.select(F.col("ordinal").alias("pair"), F.struct("id", "seq", "qual", "description").alias(name))
-    return pick(reads1, "r1").join(pick(reads2, "r2"), "pair")
+    """Records of two sides side by side: ``file, pair, r1, r2``, the k-th of the i-th file of each, files in the order of their paths.
+
+    ``file`` is that of read 1. What one file has beyond its counterpart, and
+    files without one, are left out.
+    """
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        # One row a file: bounded by the listing of the reader.
+        files = df.select("file").distinct().withColumn("lane", F.row_number().over(Window.orderBy("file")))
+        return df.join(F.broadcast(files), "file").select("lane", F.col("ordinal").alias("pair"), F.col("file").alias(f"file_{name}"), F.struct("id", "seq", "qual", "description").alias(name))
+
+    return side(reads1, "r1").join(side(reads2, "r2"), ["lane", "pair"]).select(F.col("file_r1").alias("file"), "pair", "r1", "r2")
 
 
 def deinterleaved(pairs: DataFrame, min_length: int = 0) -> tuple[DataFrame, DataFrame]:

@@ -7,18 +7,19 @@ are a filter on the result and need no tiling.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions import cigar as C
 from strandloom.functions import flags as G
+from strandloom.operators.ordered import run_numbers
 
 BASES = ("A", "C", "G", "T")
 COLUMNS = tuple(f"{b}{s}" for s in "+-" for b in BASES)
 
 
 def overlapping(df: DataFrame, chrom: str, start: int, end: int) -> DataFrame:
-    """Alignments that overlap a region; on files partitioned by ``rname`` and sorted by ``pos`` both conditions reach the scan."""
+    """Alignments that overlap a region; the conditions on ``rname`` and ``pos`` reach the scan, of an indexed BAM file too."""
     return df.where((F.col("rname") == chrom) & (F.col("pos") < end) & (F.col("pos") + C.reference_length(F.col("cigar")) > start))
 
 
@@ -59,32 +60,54 @@ def coverage(piled: DataFrame) -> DataFrame:
     return piled.select("chrom", "pos", plus.alias("plus"), minus.alias("minus"))
 
 
+#: Bases of a tile of the reference.
+TILE = 4096
+
+
+def reference_tiles(fasta: DataFrame) -> DataFrame:
+    """``chrom, tile, part`` of references ``seq_id, seq``, or ``seq_id, tile, seq`` where the source has cut them already."""
+    if "tile" in fasta.columns:
+        return fasta.select(F.col("seq_id").alias("chrom"), "tile", F.col("seq").alias("part"))
+
+    def cut(batches):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+
+        for batch in batches:
+            for chrom, seq in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = seq.as_py() or ""
+                for first in range(0, len(text), TILE * 1024):
+                    parts = [text[a : a + TILE] for a in range(first, min(len(text), first + TILE * 1024), TILE)]
+                    tiles = range(first // TILE, first // TILE + len(parts))
+                    yield pa.RecordBatch.from_arrays([pa.array([chrom] * len(parts), pa.string()), pa.array(tiles, pa.int64()), pa.array(parts, pa.string())], ["chrom", "tile", "part"])
+
+    return fasta.select("seq_id", "seq").mapInArrow(cut, "chrom string, tile long, part string")
+
+
 def reference_bases(fasta: DataFrame, piled: DataFrame) -> DataFrame:
     """``piled`` with ``ref``, the reference's base at each place.
 
     The reference goes to the places by an equi-join on (chrom, tile): tiles
     keep a chromosome from travelling whole to every row.
     """
-    tile = 4096
-    tiles = fasta.select(F.col("seq_id").alias("chrom"), F.col("seq"), F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length(seq) - 1) div {tile}"))).alias("tile"))
-    tiles = tiles.select("chrom", "tile", F.expr(f"substring(seq, cast(tile * {tile} + 1 as int), {tile})").alias("part"))
-    placed = piled.withColumn("tile", F.expr(f"pos div {tile}"))
-    base = F.substring("part", (F.col("pos") - F.col("tile") * tile + 1).cast("int"), F.lit(1))
-    return placed.join(tiles, ["chrom", "tile"]).withColumn("ref", F.upper(base)).drop("tile", "part")
+    placed = piled.withColumn("tile", F.expr(f"pos div {TILE}"))
+    base = F.substring("part", (F.col("pos") - F.col("tile") * TILE + 1).cast("int"), F.lit(1))
+    return placed.join(reference_tiles(fasta), ["chrom", "tile"]).withColumn("ref", F.upper(base)).where(F.col("ref") != "").drop("tile", "part")
 
 
 def strand_sequence(piled: DataFrame, strand: str = "+", complement: bool = False) -> DataFrame:
     """``chrom, seq``: the commonest base of every covered place in order (the first in the alphabet among equals).
 
     Uncovered places are skipped. On ``-`` the sequence is read backwards and,
-    with ``complement``, complemented.
+    with ``complement``, complemented. Places become strings tile by tile; only
+    tiles, a chromosome's length over 4,096, meet in a row.
     """
     from strandloom.functions.seq import complement as complemented
 
     best = F.array_sort(F.array(*[F.struct((-F.col(f"`{b}{strand}`")).alias("n"), F.lit(b).alias("b")) for b in BASES]))[0]
-    rows = piled.select("chrom", "pos", best.alias("x")).where(F.col("x.n") < 0)
-    seq: Column = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("x.b").alias("b")))), lambda x: x["b"]), "")
-    out = rows.groupBy("chrom").agg(seq.alias("seq"))
+    rows = piled.select("chrom", F.expr(f"pos div {TILE}").alias("tile"), "pos", best.alias("x")).where(F.col("x.n") < 0)
+    joined = lambda at, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, text))), lambda x: x["t"]), "")
+    tiles = rows.groupBy("chrom", "tile").agg(joined("pos", F.col("x.b").alias("t")).alias("part"))
+    out = tiles.groupBy("chrom").agg(joined("tile", F.col("part").alias("t")).alias("seq"))
     if strand == "-":
         out = out.withColumn("seq", F.reverse(complemented(F.col("seq")) if complement else F.col("seq")))
     return out
@@ -98,17 +121,15 @@ def region_tiles(lengths: DataFrame, name: str, length: str, step: int) -> DataF
 
 def depth_track(depth: DataFrame, sizes: DataFrame) -> DataFrame:
     """A value for every place of every sized chromosome, 0 where ``depth`` (``chrom pos value``, pos from 1) has none: ``chrom, pos, value``, pos from 0."""
-    places = region_tiles(sizes, "chrom", "size", 1).select("chrom", F.col("start").alias("pos"))
+    tiles = region_tiles(sizes, "chrom", "size", TILE).repartition("chrom", "start")
+    places = tiles.select("chrom", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"))
     given = depth.select(F.col("chrom"), (F.col("pos") - 1).cast("long").alias("pos"), "value")
     return places.join(given, ["chrom", "pos"], "left").select("chrom", "pos", F.coalesce("value", F.lit(0)).alias("value"))
 
 
 def bedgraph(depth: DataFrame) -> DataFrame:
     """``chrom, start, end, value``: runs of adjacent places of one value, in place of a dense track."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("chrom").orderBy("pos")
     rows = depth.select("chrom", (F.col("pos") - 1).cast("long").alias("pos"), "value")
-    new = (F.col("pos") != F.lag("pos").over(order) + 1) | (F.col("value") != F.lag("value").over(order))
-    runs = rows.withColumn("new", F.coalesce(new, F.lit(True)).cast("long")).withColumn("run", F.sum("new").over(order))
+    new = lambda now, last: (now["chrom"] != last["chrom"]) | (now["pos"] != last["pos"] + 1) | (now["value"] != last["value"])
+    runs = run_numbers(rows, ["chrom", "pos"], ["chrom", "pos", "value"], new, "run")
     return runs.groupBy("chrom", "run", "value").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end")).select("chrom", "start", "end", "value")

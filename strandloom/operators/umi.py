@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.prob import mean_qual, quals, saturation_corrected
 from strandloom.functions.seq import hamming, has_run, slices
+from strandloom.operators.ordered import run_numbers
 from strandloom.session import drop_settled, settle
 
 
@@ -188,34 +190,46 @@ def family_sizes(families: DataFrame, size: str) -> DataFrame:
 def tag_runs(df: DataFrame, order: str, tag: str, within: Sequence[str] = (), mismatches: int = 1) -> DataFrame:
     """Reads with ``run``: rows in ``order`` join the run of the row before while their tag is near the run's first tag.
 
-    A fold over file order, so rows of one ``within`` (a file, say) are one
-    task's, read as an Arrow stream and never held whole. ``run`` counts from 0
-    within it. A null tag, or one of another length, starts a run of its own.
+    ``run`` counts from 0 within ``within`` (a file, say). A null tag, or one of
+    another length, starts a run of its own.
+
+    What a row does depends on the run's first tag, but not everywhere. A row
+    more than ``2 * mismatches`` from the row before it can't be near the tag
+    that row is near, so it starts a run whatever came before; rows of one tag
+    in a row do alike. So rows first fall into stretches between such certain
+    starts and, inside, into repeats of one tag; only the repeats' tags, one row
+    each, are folded, stretch by stretch, as an Arrow stream.
     """
     import pyarrow as pa
 
     keys = list(within)
-    part = F.hash(*keys) if keys else F.lit(0)
-    placed = df.withColumn("part__", part)
-    spread = placed.repartition(*(keys or ["part__"])).sortWithinPartitions(*keys, order)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    near = lambda a, b, most: (F.length(a) == F.length(b)) & (_mismatches(a, b) <= most)
+    same = lambda now, last: F.lit(True) if not keys else reduce(lambda x, y: x & y, [now[k].eqNullSafe(last[k]) for k in keys])
+    columns = [*keys, tag]
+    repeats = run_numbers(df, [*keys, order], columns, lambda now, last: ~(same(now, last) & (now[tag] == last[tag])), "repeat__")
+    heads = repeats.groupBy("repeat__").agg(*[F.first(c).alias(c) for c in columns])
+    stretches = run_numbers(heads, ["repeat__"], columns, lambda now, last: ~(same(now, last) & near(now[tag], last[tag], 2 * mismatches)), "stretch__")
+    spread = stretches.select("repeat__", "stretch__", tag).repartition("stretch__").sortWithinPartitions("stretch__", "repeat__")
 
     def fold(batches):  # noqa: ANN001, ANN202
-        now, first, run = None, None, -1
+        now, first = None, None
         for batch in batches:
-            tags = batch.column(batch.schema.get_field_index(tag)).to_pylist()
-            groups = list(zip(*[batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys])) if keys else [()] * len(tags)
-            out = []
-            for g, t in zip(groups, tags):
-                near = g == now and t is not None and first is not None and len(t) == len(first) and sum(x != y for x, y in zip(t, first)) <= mismatches
-                if not near:
-                    run = run + 1 if g == now else 0
-                    now, first = g, t
-                out.append(run)
-            kept = batch.drop_columns(["part__"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(out, pa.int64())], [*kept.schema.names, "run"])
-
-    return spread.mapInArrow(fold, f"{fields}, run long")
+            new = []
+            for stretch, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                joins = stretch == now and t is not None and first is not None and len(t) == len(first) and sum(x != y for x, y in zip(t, first)) <= mismatches
+                if not joins:
+                    now, first = stretch, t
+                new.append(not joins)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.bool_())], ["folded__", "new__"])
+
+    folded = spread.mapInArrow(fold, "folded__ long, new__ boolean")
+    starts = heads.select("repeat__", *keys).join(folded, F.col("repeat__") == F.col("folded__")).drop("folded__")
+    runs = run_numbers(starts, ["repeat__"], ["new__", *keys], lambda now, last: now["new__"] | ~same(now, last), "run__")
+    lowest = runs.groupBy(*keys).agg(F.min("run__").alias("lowest__"))
+    lowest = lowest.select(*[F.col(k).alias(f"{k}__l") for k in keys], "lowest__")
+    runs = runs.join(lowest, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"{k}__l")) for k in keys], F.lit(True)))
+    numbers = runs.select("repeat__", (F.col("run__") - F.col("lowest__")).alias("run"))
+    return repeats.join(numbers, "repeat__").drop("repeat__")
 
 
 def exact_tag_families(df: DataFrame, tag: str) -> DataFrame:

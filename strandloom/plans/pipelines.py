@@ -9,8 +9,13 @@ from strandloom.operators import families, multimap, pairs, pileup, trim, umi
 
 
 def bam_to_bed(alignments: DataFrame, **options: object) -> DataFrame:
-    """Fragments of the concordant pairs of an alignment frame."""
-    return pairs.fragments(pairs.mates(alignments), **options)
+    """Fragments of the concordant pairs of an alignment frame.
+
+    Mates are those that follow each other in their file; a frame without
+    ``ordinal`` has no order and pairs each name's alignments in every combination.
+    """
+    together = pairs.mates_in_order(alignments) if "ordinal" in alignments.columns else pairs.mates(alignments)
+    return pairs.fragments(together, **options)
 
 
 def dedup_bed(bed: DataFrame, *, threshold: int = 1, method: str = "directional", delimiter: str = "_", place: int = 0, cigar: bool = False) -> DataFrame:

@@ -9,7 +9,7 @@ from strandloom.operators.dense_counts import counts_per_key
 from strandloom.operators.periods import periods_and_gaps
 from strandloom.operators.rejects import faulty_lines, valid_bed12, valid_gtf
 from strandloom.operators.unpack import attribute_values, list_values
-from strandloom.queries.problem_sql import P3, P7
+from strandloom.queries.problem_sql import P3, P7, P7_BED, P7_GTF
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -76,6 +76,8 @@ select lib_id, chrom, strand, 'covered' seg_kind, a seg_start, b seg_end from g
 union all select lib_id, chrom, strand, 'gap', b, nxt from g where nxt is not null""",
     "p3_found": P3,
     "p7_found": P7,
+    "p7_valid_gtf": P7_GTF,
+    "p7_valid_bed12": P7_BED,
     "p5_found": f"""
 with r as (select distinct rec_id, {_TIDY} barcode, group_id from fastq_reads)
 select barcode, count(*) n_reads, count(distinct group_id) n_groups from r

@@ -64,12 +64,24 @@ _BED_OK = f"""{_whole("f[2]")} and {_whole("f[3]")} and coalesce({_number("f[2]"
   and len([x for x in sizes if not {_whole("x")} or coalesce({_number("x")}, 0) <= 0]) = 0 and len([x for x in starts if not {_whole("x")}]) = 0
   and len([i for i in range(1, len(starts)) if not coalesce({_number("starts[i]")} < {_number("starts[i + 1]")}, false)]) = 0"""
 
-P7 = rf"""
+P7_CELLS = rf"""
 with l as (select distinct on (line_id) line_id, line_kind, rtrim(raw_line, chr(13)) raw from annot_lines
   where raw_line is not null and not regexp_full_match(raw_line, '\s*') and not starts_with(raw_line, '#') and line_kind in ('gtf', 'bed12')),
 c as (select line_id, line_kind, string_split(raw, chr(9)) f from l),
-n as (select *, len(f) = case when line_kind = 'gtf' then 9 else 12 end cols, len([x for x in f if {_torn("x")}]) > 0 torn from c),
+n as (select *, len(f) = case when line_kind = 'gtf' then 9 else 12 end cols, len([x for x in f if {_torn("x")}]) > 0 torn from c)"""
+
+P7 = rf"""{P7_CELLS},
 g as (select line_id, case when not cols then 'columns' when torn then 'quoting' when not ({_GTF_OK}) then 'values' end reason from n where line_kind = 'gtf'),
 s as (select *, {_items("f[11]")} sizes, {_items("f[12]")} starts from n where line_kind = 'bed12'),
 b as (select line_id, case when not cols then 'columns' when torn then 'quoting' when not ({_BED_OK}) then 'values' end reason from s)
 select line_id, reason from g where reason is not null union all select line_id, reason from b where reason is not null"""
+
+
+P7_GTF = rf"""{P7_CELLS}
+select line_id, f[1] chrom, f[2] src_name, f[3] feature_type, f[4]::bigint start_pos, f[5]::bigint end_pos, try_cast(nullif(f[6], '.') as double) score,
+  nullif(f[7], '.') strand, try_cast(nullif(f[8], '.') as int) phase, f[9] info from n where line_kind = 'gtf' and cols and not torn and {_GTF_OK}"""
+
+P7_BED = rf"""{P7_CELLS},
+s as (select *, {_items("f[11]")} sizes, {_items("f[12]")} starts from n where line_kind = 'bed12')
+select line_id, f[1] chrom, f[2]::bigint tx_start, f[3]::bigint tx_end, case when f[4] like '"%"' or f[4] like '''%''' then f[4][2:-2] else f[4] end tid,
+  f[6] strand, f[10]::int exon_count, list_sum([x::bigint for x in sizes])::bigint exon_bases from s where cols and not torn and {_BED_OK}"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 FASTQ = "file string, ordinal bigint, id string, seq string, qual string, description string"
 FASTA = "file string, ordinal bigint, seq_id string, seq string"
-ALIGNMENT = "file string, ordinal bigint, qname string, flag int, rname string, pos bigint, mapq int, cigar string, rnext string, pnext bigint, tlen bigint, seq string, qual string, tags map<string,string>"
+ALIGNMENT = "file string, ordinal bigint, qname string, flag int, rname string, pos bigint, mapq int, cigar string, rnext string, pnext bigint, tlen bigint, seq string, qual string, tags map<string,string>, tag_types map<string,string>"
 HEADER = "file string, line_no bigint, line string"
 BED6 = "chrom string, start bigint, end bigint, name string, length double, strand string"
 BEDPE = "chrom1 string, start1 bigint, end1 bigint, chrom2 string, start2 bigint, end2 bigint, name string, score string, strand1 string, strand2 string"

@@ -89,15 +89,21 @@ def settle(df: DataFrame, tag: str = "step", parts: str | None = None) -> DataFr
     :func:`drop_settled` or at exit.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/strandloom-{tag}-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, tag)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(parts) if parts else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_at = path
-    _written[path] = spark
     return out
 
 
+def scratch_folder(spark: SparkSession, tag: str) -> str:
+    """A new folder's path in the shared scratch folder, removed at exit."""
+    path = f"{scratch_root(spark)}/strandloom-{tag}-{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
 def drop_settled(*frames: DataFrame | None) -> None:
     """Delete the folders of settled frames that no later step reads."""
     for df in frames:

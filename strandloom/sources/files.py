@@ -36,11 +36,16 @@ def lines(path: str) -> io.BufferedReader:
     return io.BufferedReader(open_binary(path), 1 << 20)
 
 
+def local_path(path: str) -> str:
+    """A path without the scheme of the file system that every machine mounts."""
+    return path.removeprefix("file:").replace("//", "/") if path.startswith("file:") else path
+
+
 def expanded(path: str) -> list[str]:
     """The files of a path: itself, a pattern's matches, or a folder's files; comma-separated parts add up."""
     out: list[str] = []
     for part in path.split(","):
-        part = part.removeprefix("file://")
+        part = local_path(part)
         if part == "-":
             out.append(part)
         elif os.path.isdir(part):

@@ -16,15 +16,20 @@ SAM_HEADER = r"^@[A-Z]{2}\t"
 
 
 def sam_columns(value: Column) -> list[Column]:
-    """The alignment columns of a SAM line; places count from 0, ``*`` stays in names, is null in sequence and qualities."""
+    """The alignment columns of a SAM line; places count from 0, ``*`` stays in names, is null in sequence and qualities.
+
+    ``tags`` holds the values of the optional fields and ``tag_types`` their type letters, both by tag.
+    """
     # A header line is no row; it is masked here too, as a condition on a column may run before the one that drops it.
     line = F.when(~value.rlike(SAM_HEADER), value)
     at = lambda i: F.get(F.split(line, "\t"), F.lit(i))
-    tags = F.transform(F.slice(F.split(line, "\t"), F.lit(12), F.greatest(F.size(F.split(line, "\t")), F.lit(0))), lambda t: F.struct(F.substring(t, 1, 2).alias("key"), F.substring(t, 6, 1_000_000).alias("value")))
+    optional = F.slice(F.split(line, "\t"), F.lit(12), F.greatest(F.size(F.split(line, "\t")), F.lit(0)))
+    tags = F.transform(optional, lambda t: F.struct(F.substring(t, 1, 2).alias("key"), F.substring(t, F.lit(6), F.length(t)).alias("value")))
+    types = F.transform(optional, lambda t: F.struct(F.substring(t, 1, 2).alias("key"), F.substring(t, 4, 1).alias("value")))
     return [
         at(0).alias("qname"), at(1).cast("int").alias("flag"), at(2).alias("rname"), (at(3).cast("bigint") - 1).alias("pos"), at(4).cast("int").alias("mapq"), at(5).alias("cigar"),
         F.when(at(6) == "=", at(2)).otherwise(at(6)).alias("rnext"), (at(7).cast("bigint") - 1).alias("pnext"), at(8).cast("bigint").alias("tlen"),
-        F.nullif(at(9), F.lit("*")).alias("seq"), F.nullif(at(10), F.lit("*")).alias("qual"), F.map_from_entries(tags).alias("tags"),
+        F.nullif(at(9), F.lit("*")).alias("seq"), F.nullif(at(10), F.lit("*")).alias("qual"), F.map_from_entries(tags).alias("tags"), F.map_from_entries(types).alias("tag_types"),
     ]
 
 
@@ -120,7 +125,7 @@ def read_infernal(spark: SparkSession, path: str) -> DataFrame:
 def picard_label(name: Column) -> Column:
     """``PCT_UTR_BASES`` as ``Utr bases``."""
     text = F.replace(F.replace(name, F.lit("_"), F.lit(" ")), F.lit("PCT "), F.lit(""))
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 1000)))
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, F.lit(2), F.length(text))))
 
 
 def melted_metrics(wide: DataFrame, sample: str, regex: str) -> DataFrame:
@@ -138,7 +143,8 @@ def read_picard_rna(spark: SparkSession, path: str, attr: str = "strand") -> Dat
     if attr not in ("strand", "cov", "base"):
         raise ValueError("attr must be strand, cov or base")
     skip, rows = (10, None) if attr == "cov" else (6, 1)
-    pages = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("samplename"), F.slice(F.split("value", "\r?\n"), skip + 1, 1_000_000).alias("l"))
+    pages = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("samplename"), F.split("value", "\r?\n").alias("l"))
+    pages = pages.select("samplename", F.slice("l", F.lit(skip + 1), F.size("l")).alias("l"))
     body = F.slice("l", F.lit(2), F.lit(rows) if rows else F.size("l"))
     lines = pages.select("samplename", F.split(F.get("l", F.lit(0)), "\t").alias("names"), F.posexplode(F.filter(body, lambda x: x != "")).alias("row", "line"))
     cells = lines.select("samplename", "row", F.explode(F.arrays_zip("names", F.split("line", "\t").alias("cells"))).alias("x")).select("samplename", "row", F.col("x.names").alias("variable"), F.col("x.cells").try_cast("double").alias("var_count"))
