@@ -114,15 +114,16 @@ def _choice(names: Sequence[str]) -> Column:
 
 
 def _with_notation(rows: DataFrame, notations: Sequence[Notation]) -> DataFrame:
-    """``rows`` (src, field, ...) with the ``notation`` of each field and its pieces as ``parts``."""
+    """``rows`` (src, field, ...) with the pieces of each field as ``parts``."""
     names = [n.name for n in notations]
     counted = rows.withColumns({f"n_{n.name}": n.count(F.col("field")) for n in notations} | {f"good_{n.name}": n.regular(F.col("field")) for n in notations})
     counted = settle(counted, "fields")
     shares = counted.withColumns({f"share_{n}": F.coalesce(F.col(f"good_{n}") / F.nullif(F.col(f"n_{n}"), F.lit(0)), F.lit(0.0)) for n in names})
     ranks = rank_notations(shares, "src", names).withColumnRenamed("src", "rank_src")
-    chosen = shares.join(ranks, F.col("src").eqNullSafe(F.col("rank_src")), "left").withColumn("notation", _choice(names))
-    parts = reduce(lambda rest, n: F.when(F.col("notation") == n.name, n.pieces(F.col("field"))).otherwise(rest), reversed(notations[:-1]), notations[-1].pieces(F.col("field")))
-    return chosen.withColumn("parts", parts)
+    joined = shares.join(ranks, F.col("src").eqNullSafe(F.col("rank_src")), "left")
+    split = lambda chosen: reduce(lambda rest, n: F.when(chosen == n.name, n.pieces(F.col("field"))).otherwise(rest), reversed(notations[:-1]), notations[-1].pieces(F.col("field")))
+    # Bound to a variable, so that the choice is made once a field and not once a notation.
+    return joined.withColumn("parts", F.transform(F.array(_choice(names)), split)[0])
 
 
 def _unquote(value: Column) -> Column:
@@ -161,8 +162,8 @@ def attribute_values(df: DataFrame, ids: Sequence[str], field: str, source: str)
     head = F.regexp_extract("piece", rf"(?s)\A\s*+{KEY}(?:{_ASSIGN})?", 0)
     split = split.withColumn("head", head)
     key = F.trim(F.col("head"), F.lit(_BLANKS + "=:"))
-    value = _strip(F.substring("piece", F.length("head") + 1, F.length("piece")))
-    return split.select(*[F.col(n).alias(c) for c, n in zip(ids, names)], key.alias("attr_key"), (F.col("pos") + 1).cast("int").alias("idx"), _unquote(value).alias("attr_val"))
+    split = split.withColumn("value", _strip(F.substring("piece", F.length("head") + 1, F.length("piece"))))
+    return split.select(*[F.col(n).alias(c) for c, n in zip(ids, names)], key.alias("attr_key"), (F.col("pos") + 1).cast("int").alias("idx"), _unquote(F.col("value")).alias("attr_val"))
 
 
 def list_values(df: DataFrame, ids: Sequence[str], field: str, source: str) -> DataFrame:
