@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm.groups import group_matches
@@ -74,10 +74,15 @@ def p8_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_bins(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
-    sized = count_tokens(docs).join(docs, "doc_id")
-    copy = F.nullif(F.lower(F.regexp_replace(F.trim("text"), r"\s+", " ")), F.lit(""))
-    return pack(sized, "doc_id", "n_tokens", copy, F.coalesce("source", F.lit("")))
+    docs = table(spark, sf, "documents")
+    # The text stays where it is: a hash of it says which documents are copies.
+    marks = docs.select("doc_id", F.when(_plain() != "", F.xxhash64(_plain())).alias("copy"), F.coalesce("source", F.lit("")).alias("source"))
+    return pack(count_tokens(docs).join(marks, "doc_id"), "doc_id", "n_tokens", F.col("copy"), F.col("source"))
+
+
+def _plain() -> Column:
+    """A text but for case and white space, the same for copies of it."""
+    return F.lower(F.regexp_replace(F.trim("text"), r"\s+", " "))
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
