@@ -85,7 +85,9 @@ def group_matches(pairs: DataFrame, a: str, b: str) -> DataFrame:
     labels = trees.pop()
     while trees:
         later = labels.select(F.col("c").alias("p"), F.col("p").alias("top"))
-        labels = trees.pop().join(later, "p", "left").select("c", F.coalesce("top", "p").alias("p"))
+        tree = trees.pop()
+        before, labels = labels, settle(tree.join(later, "p", "left").select("c", F.coalesce("top", "p").alias("p")), "labels")
+        drop_settled(before, tree)
     grouped = labels.select(F.col("c").alias("id"), F.col("p").alias("root"))
     single = alone.join(grouped.select("id"), "id", "left_anti").select("id", F.col("id").alias("root"))
     return grouped.unionByName(single)

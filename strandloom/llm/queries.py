@@ -62,7 +62,7 @@ def p6_true_reads(spark: SparkSession, sf: str) -> DataFrame:
     """The sequences of each family that the instruments' inferred quality makes true."""
     rows = _families(spark, sf).withColumn("instrument", F.when(~missing(F.col("instrument")), F.upper(F.trim("instrument"))))
     out = infer_truth(rows.withColumn("seq", F.upper("seq")), ["group_id", "barcode"], "instrument", "seq")
-    return out.withColumn("p_true", F.round("p_true", 6))
+    return out.drop("em_change").withColumn("p_true", F.round("p_true", 6))
 
 
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -121,7 +121,37 @@ i as (select group_id, barcode, instrument from f where not {_MISSING.format("in
 k as (select group_id, barcode, min(rec_id) first_rec_id from f group by 1, 2)
 select group_id, barcode, first_rec_id, seq, qual, description, instrument from k left join s using (group_id, barcode) left join d using (group_id, barcode) left join i using (group_id, barcode)"""
 
+
+
+def _em_sql(rounds: int, tolerance: float) -> str:
+    """The EM rounds of p6_true_reads one after the other; once one has changed nothing by more than ``tolerance``, the rest keep what it found."""
+    steps = [
+        f"""
+with r as (select distinct on (rec_id) *, {_TIDY} bc from fastq_reads),
+claims as materialized (select distinct group_id, bc barcode, upper(trim(instrument)) src, upper(seq) val from r where group_id is not null and bc is not null and not contains(bc, 'N')
+  and not {_MISSING.format("instrument")} and seq is not null),
+covers as materialized (select distinct group_id, barcode, src from claims),
+p0 as materialized (select group_id, barcode, val, n, least(0.95, (n + 0.5) / (m + 1))::double p, false done, 0 k from (select group_id, barcode, val, count(*) n from claims group by all)
+  join (select group_id, barcode, count(*) m from covers group by all) using (group_id, barcode))"""
+    ]
+    for k in range(rounds):
+        steps.append(f"""
+m{k} as (select group_id, barcode, sum(p) t, sum(1 - p) f from p{k} group by all),
+a{k} as (select src, sum(p) ta, sum(1 - p) fa from claims join p{k} using (group_id, barcode, val) group by 1),
+c{k} as (select src, sum(t) t, sum(f) f from covers join m{k} using (group_id, barcode) group by 1),
+q{k} as materialized (select src, (ta + 2) / (t + 4) sens, (f - fa + 4) / (f + 5) spec from c{k} join a{k} using (src)),
+w{k} as materialized (select src, ln((1 - sens) / spec) silent, ln(sens / (1 - spec)) - ln((1 - sens) / spec) spoke from q{k}),
+b{k} as (select group_id, barcode, sum(silent) base from covers join w{k} using (src) group by all),
+s{k} as (select group_id, barcode, val, sum(spoke) w from claims join w{k} using (src) group by all),
+o{k} as (select group_id, barcode, val, exp(greatest(-40, least(40, base + w))) o from s{k} join b{k} using (group_id, barcode)),
+n{k} as materialized (select p.group_id, p.barcode, p.val, n, p old, done, k, o / (1 + o) fresh from p{k} p join o{k} o on p.group_id = o.group_id and p.barcode = o.barcode and p.val = o.val),
+p{k + 1} as materialized (select group_id, barcode, val, n, case when done then old else fresh end p, done or (select max(abs(fresh - old)) from n{k}) <= {tolerance} done, case when done then k else k + 1 end k from n{k})""")
+    return ",".join(steps) + f"""
+select group_id, barcode, val seq, n n_sources, round(p, 6) p_true, p >= 0.5 or row_number() over (partition by group_id, barcode order by p desc, val desc) = 1 kept, k::int em_rounds from p{rounds}"""
+
+
 SQL = {
+    "p6_true_reads": _em_sql(24, 0.01),
     "p6_built": _BUILT,
     "p1_found": _LINKED + " select bc_id, group_root from g",
     "p1_molecules": _LINKED

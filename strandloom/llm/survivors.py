@@ -15,6 +15,7 @@ entity without asserting a value enter through one sum an entity.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -82,14 +83,16 @@ def built_records(df: DataFrame, keys: Sequence[str], record: str, rules: Mappin
     return found.select(*keys, F.col("low__").alias(f"first_{record}"), *columns)
 
 
-def infer_truth(df: DataFrame, entity: Sequence[str], source: str, value: str, *, rounds: int = 8, prior: float = 0.5, keep: float = 0.5) -> DataFrame:
-    """``entity..., value, n_sources, p_true, kept``: how likely each asserted value is true, and whether it stays.
+def infer_truth(df: DataFrame, entity: Sequence[str], source: str, value: str, *, tolerance: float = 0.01, most_rounds: int = 1000, prior: float = 0.5, keep: float = 0.5) -> DataFrame:
+    """``entity..., value, n_sources, p_true, kept, em_rounds, em_change``: how likely each asserted value is true, and whether it stays.
 
     A claim is a distinct (entity, source, value); rows with a null in any of
     them claim nothing. Sources start alike; counts behind sensitivity and
     specificity are smoothed by a few pseudo-claims. An entity keeps every
     value of ``p_true`` at least ``keep``, and always its likeliest (ties by
-    value). ``rounds`` EM rounds are run, the same at every size.
+    value). EM rounds are run until none changes any ``p_true`` by more than
+    ``tolerance``; ``em_rounds`` and ``em_change`` say how many that took and
+    what the last one changed. More than ``most_rounds`` raise.
     """
     names = [f"e{i}" for i in range(len(entity))]
     cols = [df[c].alias(n) for c, n in zip(entity, names)]
@@ -99,7 +102,10 @@ def infer_truth(df: DataFrame, entity: Sequence[str], source: str, value: str, *
     votes = claims.groupBy(*names, "val").agg(F.count(F.lit(1)).alias("n"))
     sources = covers.groupBy(*names).agg(F.count(F.lit(1)).alias("m"))
     facts = settle(votes.join(sources, names).select(*names, "val", "n", F.least(F.lit(0.95), (F.col("n") + 0.5) / (F.col("m") + 1)).alias("p")), "facts")
-    for _ in range(rounds):
+    change, rounds = math.inf, 0
+    while change > tolerance:
+        if rounds == most_rounds:
+            raise RuntimeError(f"{rounds} rounds have left a change of {change}")
         # Of each source: truth and falsehood it asserted, and all truth and falsehood of the entities it covers.
         asserted = claims.join(facts.select(*names, "val", "p"), [*names, "val"]).groupBy("src").agg(F.sum("p").alias("ta"), F.sum(1 - F.col("p")).alias("fa"))
         mass = facts.groupBy(*names).agg(F.sum("p").alias("t"), F.sum(1 - F.col("p")).alias("f"))
@@ -118,8 +124,17 @@ def infer_truth(df: DataFrame, entity: Sequence[str], source: str, value: str, *
         base = covers.join(quality.select("src", silent.alias("w")), "src").groupBy(*names).agg(F.sum("w").alias("base"))
         told = claims.join(quality.select("src", spoke.alias("w")), "src").groupBy(*names, "val").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
         odds = F.lit(prior / (1 - prior)) * F.exp(F.greatest(F.lit(-40.0), F.least(F.lit(40.0), F.col("base") + F.col("w"))))
-        before, facts = facts, settle(told.join(base, names).select(*names, "val", "n", (odds / (1 + odds)).alias("p")), "facts")
-        drop_settled(before, quality)
+        last = facts.select(*names, "val", F.col("p").alias("last"))
+        found = told.join(base, names).join(last, [*names, "val"])
+        after = settle(found.select(*names, "val", "n", (odds / (1 + odds)).alias("p"), "last"), "facts")
+        change, rounds = after.agg(F.max(F.abs(F.col("p") - F.col("last")))).first()[0] or 0.0, rounds + 1
+        drop_settled(facts, quality)
+        facts = after.drop("last")
+        facts._settled_at = after._settled_at
+    drop_settled(claims, covers)
     best = facts.groupBy(*names).agg(F.max_by("val", F.struct("p", "val")).alias("best"))
     out = facts.join(best, names)
-    return out.select(*[F.col(n).alias(c) for c, n in zip(entity, names)], F.col("val").alias(value), F.col("n").alias("n_sources"), F.col("p").alias("p_true"), ((F.col("p") >= keep) | (F.col("val") == F.col("best"))).alias("kept"))
+    return out.select(
+        *[F.col(n).alias(c) for c, n in zip(entity, names)], F.col("val").alias(value), F.col("n").alias("n_sources"), F.col("p").alias("p_true"), ((F.col("p") >= keep) | (F.col("val") == F.col("best"))).alias("kept"),
+        F.lit(rounds).alias("em_rounds"), F.lit(float(change)).alias("em_change"),
+    )

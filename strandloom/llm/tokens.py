@@ -100,7 +100,7 @@ def _cuts(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def _lots(kind: pa.DataType):
+def _lots(kind: pa.DataType, lot_chars: int):
     """Texts to rows of a lot: of a text ``doc, whole, refs`` (a hash of the text, the numbers of its chunks), of a chunk ``at, chunk, piece``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +130,7 @@ def _lots(kind: pa.DataType):
                     whole.append(xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")))
                     refs.append(mine)
                 size += sum(map(len, texts))
-                if size >= LOT_CHARS:
+                if size >= lot_chars:
                     yield from flush()
                     nth, size = nth + 1, 0
                     docs, whole, refs, known = [], [], [], {}
@@ -217,20 +217,21 @@ def _join_up(path: str, kind: pa.DataType):
     return run
 
 
-def encode_corpus(df: DataFrame, doc: str = "doc_id", text: str = "text", *, vocabulary: str = "byte_bpe_50k.tiktoken", folder: str | None = None) -> DataFrame:
+def encode_corpus(df: DataFrame, doc: str = "doc_id", text: str = "text", *, vocabulary: str = "byte_bpe_50k.tiktoken", folder: str | None = None, lot_chars: int = LOT_CHARS) -> DataFrame:
     """``doc, ids``: the token ids of every text, without special tokens, as an encoding of the whole text gives them.
 
     Null and empty texts have no tokens: their ``ids`` are an empty list.
     ``vocabulary`` is a byte-level BPE file in ``folder`` (by default where the
     public vocabularies are installed), of tiktoken or tokenizers format; the
     certain boundaries hold for its splitting pattern. Rows equal in ``doc``
-    and ``text`` are one; other columns are not read.
+    and ``text`` are one; other columns are not read. ``lot_chars`` bounds what
+    a task holds; it changes the work, never the result.
     """
     path = str(Path(folder or tokenizer_folder()) / vocabulary)
     rows = df.select(df[doc].alias("doc"), df[text].cast("string").alias("text"))
     kind = rows.schema["doc"].dataType
     arrow = to_arrow_type(kind)
-    lots = settle(rows.mapInArrow(_lots(arrow), f"lot long, doc {kind.simpleString()}, whole binary, refs array<int>, at int, chunk binary, piece string"), "lots")
+    lots = settle(rows.mapInArrow(_lots(arrow, lot_chars), f"lot long, doc {kind.simpleString()}, whole binary, refs array<int>, at int, chunk binary, piece string"), "lots")
     chunks = lots.where(F.col("chunk").isNotNull()).select("lot", "at", "chunk", "piece").repartition("chunk").sortWithinPartitions("chunk")
     encoded = chunks.mapInArrow(_encode_chunks(path), "lot long, at int, head string, core binary, tail string")
     texts = lots.where(F.col("whole").isNotNull()).select("lot", "doc", "whole", "refs").dropDuplicates(["doc", "whole"])
