@@ -8,7 +8,7 @@ padding.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from strandloom.functions.seq import IUPAC
 
 RESULT = "struct<ref_start:int,ref_end:int,query_start:int,query_end:int,matches:int,errors:int>"
+#: Ends at which what hangs over costs nothing: all four of them in a semiglobal alignment.
+SEMIGLOBAL = ("ref_start", "ref_end", "query_start", "query_end")
 _FIELDS = ["ref_start", "ref_end", "query_start", "query_end", "matches", "errors"]
 _BITS = {"A": 1, "C": 2, "G": 4, "T": 8}
 _BATCH = 2048
@@ -36,10 +38,11 @@ def _coded(texts: list[str], width: int, wild: bool, side: int) -> np.ndarray:
     return out
 
 
-def locate_batch(refs: list[str], queries: list[str], max_error: float, *, wildcards: bool = False, min_overlap: int = 1) -> list[tuple[int, ...] | None]:
+def locate_batch(refs: list[str], queries: list[str], max_error: float, *, wildcards: bool = False, min_overlap: int = 1, free: Sequence[str] = SEMIGLOBAL) -> list[tuple[int, ...] | None]:
     """For each pair the best overlap as (ref_start, ref_end, query_start, query_end, matches, errors), or None.
 
-    Free ends on both sides. A match always takes the diagonal; otherwise a
+    ``free`` names the ends where an overhang costs nothing; elsewhere the
+    alignment must reach the end of the text. A match always takes the diagonal; otherwise a
     mismatch is preferred to an insertion, and that to a deletion. Best is more
     matches, then fewer errors, then the first found: along the last row by
     query place, then down the last column. Errors must stay within
@@ -51,9 +54,12 @@ def locate_batch(refs: list[str], queries: list[str], max_error: float, *, wildc
     ref, query = _coded(refs, height, wildcards, 1), _coded(queries, width, wildcards, 2)
     limit = (max_error * m).astype(np.int64)
     rows = np.arange(height + 1)
-    cost = np.zeros((height + 1, count), np.int64)
+    if unknown := set(free) - set(SEMIGLOBAL):
+        raise ValueError(f"no end is named {', '.join(sorted(unknown))}")
+    # Whatever the reference has before the alignment is skipped for nothing or deleted base by base.
+    before = np.repeat(rows[:, None], count, axis=1).astype(np.int64)
+    cost, origin = (np.zeros_like(before), -before) if "ref_start" in free else (before, np.zeros_like(before))
     hits = np.zeros((height + 1, count), np.int64)
-    origin = np.repeat(-rows[:, None], count, axis=1)
     best = {"matches": np.zeros(count, np.int64), "cost": m + n, "origin": np.zeros(count, np.int64), "ref_end": m.copy(), "query_end": n.copy()}
     exact = np.zeros(count, bool)
     pick = np.arange(count)
@@ -68,10 +74,9 @@ def locate_batch(refs: list[str], queries: list[str], max_error: float, *, wildc
 
     for j in range(1, width + 1):
         inside = (j <= n) & ~exact
-        diag_cost, diag_hits, diag_origin = cost[0], hits[0], origin[0]
-        new_origin0 = np.where(inside, j, origin[0])
-        origin = origin.copy()
-        origin[0] = new_origin0
+        diag_cost, diag_hits, diag_origin = cost[0].copy(), hits[0].copy(), origin[0].copy()
+        top = origin if "query_start" in free else cost
+        top[0] = np.where(inside, j, top[0])
         letter = query[:, j - 1]
         for i in range(1, height + 1):
             old_cost, old_hits, old_origin = cost[i].copy(), hits[i].copy(), origin[i].copy()
@@ -87,34 +92,36 @@ def locate_batch(refs: list[str], queries: list[str], max_error: float, *, wildc
             origin[i] = np.where(inside, new_origin, old_origin)
             diag_cost, diag_hits, diag_origin = old_cost, old_hits, old_origin
         # A last-row match counts once the whole reference is within the error limit.
-        exact |= consider(m, m, j, inside & (cost[m, pick] <= limit))
+        if "query_end" in free:
+            exact |= consider(m, m, j, inside & (cost[m, pick] <= limit))
     for i in range(height + 1):
-        consider(np.minimum(i, m), np.full(count, i), n, (i <= m) & ~exact)
+        ends = (i <= m) if "ref_end" in free else (i == m)
+        consider(np.minimum(i, m), np.full(count, i), n, ends & ~exact)
     found = best["cost"] != m + n
     start = best["origin"]
     out = np.stack([np.maximum(-start, 0), best["ref_end"], np.maximum(start, 0), best["query_end"], best["matches"], best["cost"]], axis=1)
     return [tuple(int(x) for x in row) if ok else None for row, ok in zip(out, found)]
 
 
-def locate_many(refs: list[str | None], queries: list[str | None], max_error: float, *, wildcards: bool = False, min_overlap: int = 1) -> list[tuple[int, ...] | None]:
+def locate_many(refs: list[str | None], queries: list[str | None], max_error: float, **options: object) -> list[tuple[int, ...] | None]:
     """:func:`locate_batch` over any pairs, in groups of like lengths; None where either text is null or empty."""
     out: list[tuple[int, ...] | None] = [None] * len(refs)
     order = sorted((i for i in range(len(refs)) if refs[i] and queries[i]), key=lambda i: (len(refs[i]), len(queries[i])))
     for a in range(0, len(order), _BATCH):
         group = order[a : a + _BATCH]
-        for i, result in zip(group, locate_batch([refs[i] for i in group], [queries[i] for i in group], max_error, wildcards=wildcards, min_overlap=min_overlap)):
+        for i, result in zip(group, locate_batch([refs[i] for i in group], [queries[i] for i in group], max_error, **options)):
             out[i] = result
     return out
 
 
-def locate(reference: Column, query: Column, max_error: float = 0.1, *, wildcards: bool = False, min_overlap: int = 1) -> Column:
-    """The best overlap of two text columns as a struct of places, matches and errors; null without one."""
+def locate(reference: Column, query: Column, max_error: float = 0.1, *, wildcards: bool = False, min_overlap: int = 1, free: Sequence[str] = SEMIGLOBAL) -> Column:
+    """The best overlap of two text columns as a struct of places, matches and errors; null without one. Options as for :func:`locate_batch`."""
 
     @F.arrow_udf(RESULT)
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         kind = pa.struct([(f, pa.int32()) for f in _FIELDS])
         for refs, queries in batches:
-            found = locate_many(refs.to_pylist(), queries.to_pylist(), max_error, wildcards=wildcards, min_overlap=min_overlap)
+            found = locate_many(refs.to_pylist(), queries.to_pylist(), max_error, wildcards=wildcards, min_overlap=min_overlap, free=free)
             yield pa.array([dict(zip(_FIELDS, x)) if x else None for x in found], kind)
 
     return run(reference, query)

@@ -106,7 +106,8 @@ def bootstrap_places(spark, size: int, group_size: int, rounds: int, seed: int =
     if group_size > size:
         raise ValueError("a group can't be larger than the rows")
     draws = spark.range(rounds * group_size).select(F.expr(f"id div {group_size}").alias("round"), (F.col("id") % group_size).alias("nth"))
-    return draws.withColumn("place", F.pmod(F.xxhash64(F.lit(seed), "round", "nth"), F.lit(size)))
+    digest = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("round").cast("string"), F.col("nth").cast("string")))
+    return draws.withColumn("place", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % F.lit(size))
 
 
 def bootstrap_means(df: DataFrame, value: str, order: Sequence[str], group_size: int, rounds: int, seed: int = 0) -> DataFrame:

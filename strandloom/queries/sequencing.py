@@ -50,28 +50,6 @@ def frags(spark: SparkSession, sf: str) -> DataFrame:
 F_SQL = """f as (select distinct on (frag_id) frag_id, lib_id, chrom, start_pos as "start", end_pos as "end", read_name, fragment_size, strand, tag, cigar, mapq, run_at from fragments
   where chrom is not null and strand in ('+','-') and start_pos >= 0 and start_pos < end_pos)"""
 
-_PLACE = ["lib_id", "chrom", "strand", "win"]
-
-
-def _windows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = frags(spark, sf).where(F.col("tag").isNotNull())
-    return rows.select("lib_id", "chrom", "strand", F.expr("start div 5000000").alias("win"), F.substring("tag", 1, 3).alias("umi"))
-
-
-_SAT = f"""with {F_SQL}, s as (select lib_id, chrom, strand, "start" // 5000000 win, count(distinct substr(tag, 1, 3)) n_umi from f where tag is not null group by all),
-m as (select *, greatest(n_umi, cast(round(-64.0 * ln(1 - least(n_umi, 63) / 64.0)) as bigint)) n_molecules from s)"""
-
-
-@query(_SAT + " select * from m")
-def umi_saturation(spark: SparkSession, sf: str) -> DataFrame:
-    return umi.saturation(_windows(spark, sf), _PLACE, "umi", 3)
-
-
-@query(_SAT + " select lib_id, chrom, strand, win, 'frag:UMI_' || n_umi || '_' || i as name, 0 as score from (select *, unnest(range(1, n_molecules + 1)) i from m)")
-def poisson_expand(spark: SparkSession, sf: str) -> DataFrame:
-    return umi.expanded_molecules(umi.saturation(_windows(spark, sf), _PLACE, "umi", 3))
-
-
 _SAT_PLACES = f"""with {F_SQL}, s as (select chrom, "start", "end", strand, count(distinct tag) n_umi from f where tag is not null group by all),
 m as (select *, greatest(n_umi, cast(round(-1048576.0 * ln(1 - least(n_umi, 1048575) / 1048576.0)) as bigint)) n_molecules from s)"""
 
@@ -146,6 +124,43 @@ def pair_fragments(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.fragments(pairs.mates(alignments(spark, sf)), min_size=20, max_size=5000, only_primary=True, tag="RX", add_cigar=True)
 
 
+@query(
+    f"""with {_MATES}, m as (select *, s1 + {_n("c1", "MDN")} e1, s2 + {_n("c2", "MDN")} e2 from a)
+select lib_id, chrom, least(s1, s2) as "start", greatest(e1, e2) as "end", regexp_extract(read_name, '^[^/\\s]*') as name, greatest(e1, e2) - least(s1, s2) length, strand from m where read_name is not null and lib_id is not null"""
+)
+def bam_to_bed_multi(spark: SparkSession, sf: str) -> DataFrame:
+    """Fragments of files, one a library, in which a name has many alignments: each read 1 goes with the read 2 that follows it."""
+    names = table(spark, sf, "fragments").select(F.col("frag_id").cast("string").alias("qname"), "lib_id", F.regexp_extract("read_name", r"(?s)\A([^/\s]*)", 1).alias("read")).dropDuplicates(["qname"]).dropna()
+    rows = alignments(spark, sf).join(names, "qname").withColumn("ordinal", F.col("qname").cast("long") * 2 + G.has(F.col("flag"), G.READ2).cast("int"))
+    rows = rows.withColumn("qname", F.col("read")).withColumn("file", F.col("lib_id").cast("string")).drop("read", "lib_id")
+    together = pairs.mates_in_order(rows).withColumn("rname1", F.concat_ws("@", "rname1", "file1")).withColumn("rname2", F.concat_ws("@", "rname2", "file2"))
+    found = pairs.fragments(together)
+    return found.select(F.split("chrom", "@")[1].cast("long").alias("lib_id"), F.split("chrom", "@")[0].alias("chrom"), "start", "end", "name", "length", "strand")
+
+
+@query(
+    f"""with {_MATES}, u as (select frag_id, f1 flag, chrom, s1 p, c1 c, strand from a union all select frag_id, f2, chrom, s2, c2, case when strand = '+' then '-' else '+' end from a)
+select chrom, p::bigint as "start", (p + {_n("c", "MDN")})::bigint as "end", 'x:' || frag_id as name, {_n("c", "MDN")} length, strand, c cigar from u where {_n("c", "MDN")} between 1 and 500"""
+)
+def single_fragments(spark: SparkSession, sf: str) -> DataFrame:
+    """Each alignment as a fragment of its own."""
+    found = pairs.single_fragments(alignments(spark, sf), min_size=1, max_size=500, add_cigar=True, prefix="x")
+    return found.withColumns({c: F.col(c).cast("long") for c in ("start", "end", "length")})
+
+
+@query(
+    f"""with {F_SQL}, o as (select frag_id, lib_id, tag, row_number() over (partition by lib_id order by tag, frag_id) k from f where tag is not null and lib_id is not null),
+l as (select lib_id, list(frag_id order by k) ids, list({{'first': tag, 'run': 0::bigint, 'runs': [0::bigint]}} order by k) rows from o group by 1),
+d as (select lib_id, ids, list_reduce(rows, lambda a, x: case when length(a.first) = length(x.first) and hamming(a.first, x.first) <= 1
+  then {{'first': a.first, 'run': a.run, 'runs': list_append(a.runs, a.run)}} else {{'first': x.first, 'run': a.run + 1, 'runs': list_append(a.runs, a.run + 1)}} end).runs runs from l)
+select unnest(ids) frag_id, unnest(runs) run from d"""
+)
+def tag_runs_sorted(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of near tags among the tags of each library in order."""
+    rows = frags(spark, sf).where(F.col("tag").isNotNull() & F.col("lib_id").isNotNull()).select("frag_id", "lib_id", "tag", F.struct("tag", "frag_id").alias("at"))
+    return umi.tag_runs(rows, "at", "tag", ["lib_id"]).select("frag_id", "run")
+
+
 @query(
     f"""with {F_SQL}, b as (select *, case when frag_id % 7 = 0 then strand when strand = '+' then '-' else '+' end o from f)
 select chrom, "start", "end", frag_id::varchar as name, "end" - "start" as length, strand from b where strand <> o and "end" - "start" > 100 and "end" - "start" < 1000"""
@@ -285,43 +300,6 @@ def _all_group_counts(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where(F.col("umi").isNotNull()).groupBy("group_id", "umi").agg(F.sum("k").alias("n"))
 
 
-def _group_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """UMIs of groups without an unread base, as the SQL of three queries has them."""
-    return _all_group_counts(spark, sf).where(F.col("group_id").isNotNull() & F.col("umi").rlike("^[ACGT]+$"))
-
-
-_COUNTS = """b as (select distinct bc_id, group_id, upper(umi) umi, coalesce(n_members, 1) k from barcode_sets where group_id is not null and regexp_full_match(upper(umi), '[ACGT]+')),
-c as (select group_id, umi, sum(k)::bigint n, length(umi) len from b group by group_id, umi),
-k as (select *, row_number() over (partition by group_id order by n desc, umi) rk from c)"""
-
-
-@query(f"with {_COUNTS} select x.group_id, x.umi a, x.n na, y.umi b, y.n nb from c x join c y on x.group_id = y.group_id and x.len = y.len and x.umi < y.umi and hamming(x.umi, y.umi) <= 2")
-def umi_blocked_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return umi.near_pairs(_group_counts(spark, sf), ["group_id"], 2)
-
-
-@query(
-    f"""with recursive {_COUNTS}, e as (select x.group_id, x.rk s, y.rk d from k x join k y on x.group_id = y.group_id and x.len = y.len and x.umi <> y.umi and hamming(x.umi, y.umi) <= 1 and x.n >= 2 * y.n - 1),
-r(group_id, rk, top) as (select group_id, rk, rk from k union select e.group_id, e.d, r.top from r join e on e.group_id = r.group_id and e.s = r.rk where r.top < e.d),
-t as (select group_id, rk, min(top) top from r group by 1, 2)
-select t.group_id, u.umi, sum(k.n)::bigint n_members from t join k on k.group_id = t.group_id and k.rk = t.rk join k u on u.group_id = t.group_id and u.rk = t.top group by 1, 2"""
-)
-def umi_dedup_directional(spark: SparkSession, sf: str) -> DataFrame:
-    found = umi.directional_clusters(_group_counts(spark, sf), ["group_id"])
-    return found.groupBy("group_id", F.col("cluster").alias("umi")).agg(F.sum("n").alias("n_members"))
-
-
-@query(
-    f"""with recursive {_COUNTS}, e as (select x.group_id, x.rk s, y.rk d from k x join k y on x.group_id = y.group_id and abs(x.len - y.len) <= 1 and x.umi <> y.umi and levenshtein(x.umi, y.umi) <= 1),
-r(group_id, rk, top) as (select group_id, rk, rk from k union select e.group_id, e.d, r.top from r join e on e.group_id = r.group_id and e.s = r.rk where r.top < e.d),
-t as (select group_id, rk, min(top) top from r group by 1, 2)
-select t.group_id, u.umi, sum(k.n)::bigint n_members from t join k on k.group_id = t.group_id and k.rk = t.rk join k u on u.group_id = t.group_id and u.rk = t.top group by 1, 2"""
-)
-def umi_dedup_adjacency(spark: SparkSession, sf: str) -> DataFrame:
-    found = umi.adjacency_clusters(_group_counts(spark, sf), ["group_id"])
-    return found.groupBy("group_id", F.col("cluster").alias("umi")).agg(F.sum("n").alias("n_members"))
-
-
 _ALL_COUNTS = """b as (select distinct bc_id, group_id, upper(umi) umi, coalesce(n_members, 1) k from barcode_sets where umi is not null),
 c as (select group_id, umi, sum(k)::bigint n, length(umi) len from b group by group_id, umi),
 k as (select *, row_number() over (partition by group_id order by n desc, umi) rk from c)"""
@@ -456,7 +434,24 @@ def barcode_on_read1(spark: SparkSession, sf: str) -> DataFrame:
     return families.barcoded_pairs(_read_pairs(spark, sf), read=1).select("rec_id", "barcode", "accepted")
 
 
-@query(None)
+def _voted(name: str, rows: str, keys: str, seq: str, qual: str) -> str:
+    """CTEs that end in ``name``: keys, members, seq and qual of each family's vote at 0.8; a family of one keeps its read."""
+    return f"""{name}_r as (select {keys}, {seq} s, {qual} q from {rows} where length({seq}) > 0),
+{name}_f as (select {keys}, count(*) members, min(length(s)) cut, min({{'s': s, 'q': q}}) one from {name}_r group by all),
+{name}_x as (select {keys}, i - 1 pos, substr(s, i, 1) base, ascii(substr(q, i, 1)) - 33 q from (select *, unnest(range(1, length(s) + 1)) i from {name}_r) join {name}_f using ({keys}) where i <= cut),
+{name}_s as (select {keys}, pos, base, count(*) n, sum(q) qs from {name}_x group by all),
+{name}_v as (select *, sum(n) over (partition by {keys}, pos) depth, row_number() over (partition by {keys}, pos order by n desc, base) k from {name}_s),
+{name}_c as (select {keys}, string_agg(case when n / depth >= 0.8 then base else 'N' end, '' order by pos) seq,
+  string_agg(chr(cast(floor(least(greatest(-10 * log10(1 - case when n / depth >= 0.8 then least(0.99999999999, 1 - pow(10.0, -qs / 10.0)) else 0 end) + 33, 33), 73) + 1e-9) as int)), '' order by pos) qual from {name}_v where k = 1 group by {keys}),
+{name} as (select {keys}, members, case when members = 1 then one.s else seq end seq, case when members = 1 then one.q else qual end qual from {name}_c join {name}_f using ({keys}))"""
+
+
+@query(
+    f"""with {R_SQL}, a as (select seq seq1, qual qual1, {_RC.format("seq")} back, reverse(qual) kcab from r where length(seq) > 6),
+b as (select substr(back, 1, 6) barcode, seq1, qual1, substr(back, 7) seq2, substr(kcab, 7) qual2 from a where not contains(substr(back, 1, 6), 'N') and floor(list_avg({_Q.format("substr(kcab, 1, 6)")})) > 20),
+{_voted("one", "b", "barcode", "seq1", "qual1")}, {_voted("two", "b", "barcode", "seq2", "qual2")}
+select barcode, one.members, one.seq seq1, one.qual qual1, two.seq seq2, two.qual qual2 from one join two using (barcode) where one.members >= 2"""
+)
 def corrected_read_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return families.corrected_pairs(_read_pairs(spark, sf), read=2, least=2)
 
@@ -531,7 +526,12 @@ def depth_bedgraph(spark: SparkSession, sf: str) -> DataFrame:
     return pileup.bedgraph(depth)
 
 
-@query(None)
+@query(
+    f"""with {_PLACED}, {_voted("fam", "al", "barcode, chrom, s0, strand", "seq", "qual")},
+u as (select barcode || '_' || members || '_member/' id, strand = '-' turned, seq, qual from fam)
+select id || '1' id, case when turned then {_RC.format("seq")} else seq end seq, case when turned then reverse(qual) else qual end qual from u
+union all select id || '2', case when turned then seq else {_RC.format("seq")} end, case when turned then qual else reverse(qual) end from u"""
+)
 def demux_exact_tag(spark: SparkSession, sf: str) -> DataFrame:
     """Consensus pairs of alignments of one tag: a placed read and its mate."""
     one = placed_reads(spark, sf).withColumn("tags", F.create_map(F.lit("RX"), F.col("barcode")))
@@ -540,14 +540,11 @@ def demux_exact_tag(spark: SparkSession, sf: str) -> DataFrame:
     return families.family_reads(families.tagged_families(first.unionByName(second), "RX", "vote"))
 
 
-@query(f"with {R_SQL}, x as (select i - 1 pos, substr(seq, i, 1) base from (select seq, unnest(range(1, length(seq) + 1)) i from r)), c as (select pos, base, count(*) n from x group by 1, 2) select pos::int pos, base, round(n / sum(n) over (partition by pos), 9) as share from c qualify row_number() over (partition by pos order by n desc, base) = 1")
-def msa_consensus(spark: SparkSession, sf: str) -> DataFrame:
-    return kmers.alignment_consensus(reads(spark, sf).select(F.col("rec_id").alias("seq_id"), "seq")).withColumn("share", F.round("share", 9))
-
-
-@query("select a.n_name seq_a, b.n_name seq_b, hamming(rpad(a.n_name, 16, '-'), rpad(b.n_name, 16, '-'))::int distance from nation a, nation b")
-def msa_pairwise_hamming(spark: SparkSession, sf: str) -> DataFrame:
-    return kmers.pair_matrix(table(spark, sf, "nation").select(F.col("n_name").alias("seq_id"), F.rpad("n_name", 16, "-").alias("seq")))
+@query(f"with {ALL_SQL} select rec_id, i::int pos, substr(seq, i + 1, 1) base from (select *, unnest(range(0, length(seq))) i from r) where regexp_matches(rec_id::varchar, '^[1-4].*7$')")
+def msa_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """The columns of aligned sequences whose ids match an expression."""
+    chosen = kmers.with_ids(sequences(spark, sf).select(F.col("rec_id").alias("seq_id"), "seq"), "^[1-4].*7$")
+    return kmers.alignment_columns(chosen.where(F.length("seq") > 0)).select(F.col("seq_id").alias("rec_id"), "pos", "base")
 
 
 @query("""with b as (select distinct on (bc_id) bc_id, upper(umi) s from barcode_sets where length(umi) = 20)
@@ -558,35 +555,6 @@ def umi_pairwise_hamming(spark: SparkSession, sf: str) -> DataFrame:
     return kmers.pair_distances(rows.where(F.col("seq_id") % 50 == 0), rows)
 
 
-@query(f"with {R_SQL}, x as (select rec_id, unnest(list_concat([substr(seq, i, 2) for i in range(1, length(seq))], [substr(seq, i, 3) for i in range(1, length(seq) - 1)])) kmer from r) select kmer, count(*) n, count(distinct rec_id) n_reads from x group by 1")
-def kmer_bag(spark: SparkSession, sf: str) -> DataFrame:
-    return kmers.kmer_bag(reads(spark, sf), "rec_id", "seq", 2, 3).groupBy("kmer").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_reads"))
-
-
-@query(
-    f"""with {R_SQL}, x as (select substr(seq, i, 3) kmer, count(*) c from (select seq, unnest(range(1, length(seq) - 1)) i from r) group by 1),
-d as (select a.b || b.b || c.b as "key" from (select unnest(['A','C','G','T']) b) a, (select unnest(['A','C','G','T']) b) b, (select unnest(['A','C','G','T']) b) c)
-select "key", sum(c)::bigint n from x join d on levenshtein(kmer, "key") <= 1 group by 1"""
-)
-def gapped_kmer(spark: SparkSession, sf: str) -> DataFrame:
-    return kmers.gapped_kmers(reads(spark, sf), "rec_id", "seq", 3, 1).groupBy("key").agg(F.sum("n").alias("n"))
-
-
-@query(f"with {R_SQL} select rec_id, {_RC.format('seq')} rc, translate(seq, 'ACGTN', 'TGCAN') comp from r")
-def revcomp(spark: SparkSession, sf: str) -> DataFrame:
-    return reads(spark, sf).select("rec_id", S.reverse_complement(F.col("seq")).alias("rc"), S.complement(F.col("seq")).alias("comp"))
-
-
-@query(
-    f"""with {R_SQL}, h as (select rec_id, seq, unnest(range(1, length(seq) + 1)) i from r)
-select rec_id, string_agg(case substr(seq, i, 1) when 'A' then '10000' when 'C' then '01000' when 'G' then '00100' when 'N' then '00010' else '00001' end, '' order by i) bits, any_value(seq) decoded from h group by 1"""
-)
-def onehot(spark: SparkSession, sf: str) -> DataFrame:
-    rows = reads(spark, sf).withColumn("m", S.one_hot(F.col("seq")))
-    bits = F.array_join(F.transform("m", lambda row: F.array_join(F.transform(row, lambda x: x.cast("int").cast("string")), "")), "")
-    return rows.select("rec_id", bits.alias("bits"), S.one_hot_decode(F.col("m")).alias("decoded"))
-
-
 @query(f"with {ALL_SQL}, x as (select i - 1 pos, substr(seq, i, 1) base from (select seq, unnest(range(1, length(seq) + 1)) i from r)), c as (select pos, base, count(*) n from x group by 1, 2) select pos::int pos, base, round(n / sum(n) over (partition by pos), 9) as share from c qualify row_number() over (partition by pos order by n desc, base) = 1")
 def msa_consensus_all(spark: SparkSession, sf: str) -> DataFrame:
     return kmers.alignment_consensus(sequences(spark, sf).select(F.col("rec_id").alias("seq_id"), "seq")).withColumn("share", F.round("share", 9))
@@ -631,16 +599,6 @@ def onehot_all(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("rec_id", bits.alias("bits"), S.one_hot_decode(F.col("m")).alias("decoded"))
 
 
-@query(
-    """with b as (select distinct bc_id, substr(upper(umi), 1, 8) s from barcode_sets where umi is not null),
-c as (select distinct s from b where regexp_full_match(s, '[ACGTN]+') and contains(s, 'N'))
-select s as seq, replace(s, 'N', x) as expanded, 'N' as codes from c, (select unnest(['A','C','G','T']) x) e"""
-)
-def iupac_expand(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "barcode_sets").select(F.substring(F.upper("umi"), 1, 8).alias("seq")).where(F.col("seq").rlike("^[ACGTN]+$") & F.contains("seq", F.lit("N"))).distinct()
-    return rows.select("seq", F.explode(S.iupac_expansions(F.col("seq"))).alias("expanded"), F.array_join(S.degenerate_codes(F.col("seq")), "").alias("codes"))
-
-
 @query(
     """with c as (select distinct upper(umi) s from barcode_sets where regexp_full_match(upper(umi), '[ACGTN]+') and contains(upper(umi), 'N'))
 select s as seq, replace(s, 'N', x) as expanded, 'N' as codes from c, (select unnest(['A','C','G','T']) x) e"""
@@ -650,10 +608,16 @@ def iupac_expand_whole(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("seq", F.explode(S.iupac_expansions(F.col("seq"))).alias("expanded"), F.array_join(S.degenerate_codes(F.col("seq")), "").alias("codes"))
 
 
-@query(f"with {R_SQL} select rec_id, hamming(substr(seq, 1, 12), rpad(substr(barcode, 1, 12), 12, 'N'))::int ham, levenshtein(substr(seq, 1, 12), barcode)::int lev, substr(seq, 3, 5) part, length(regexp_extract(seq, '^A*')) > 0 starts_a from r")
-def distances(spark: SparkSession, sf: str) -> DataFrame:
-    head = F.substring("seq", 1, 12)
-    return reads(spark, sf).select("rec_id", S.hamming(head, F.rpad(F.substring("barcode", 1, 12), 12, "N")).alias("ham"), S.levenshtein(head, F.col("barcode")).alias("lev"), S.subseq(F.col("seq"), 2, 7).alias("part"), F.startswith("seq", F.lit("A")).alias("starts_a"))
+@query("""with l as (select distinct on (link_id) link_id, bc_id_a, bc_id_b from umi_links), b as (select distinct on (bc_id) bc_id, upper(umi) s from barcode_sets where umi is not null)
+select link_id, case when length(x.s) = length(y.s) then hamming(x.s, y.s)::int end ham, levenshtein(x.s, y.s)::int lev, substr(x.s, 3, 5) part, starts_with(x.s, 'A') starts_a
+from l join b x on x.bc_id = bc_id_a join b y on y.bc_id = bc_id_b""")
+def distances_linked(spark: SparkSession, sf: str) -> DataFrame:
+    """Distances of the whole UMIs of compared barcodes."""
+    umis = table(spark, sf, "barcode_sets").where(F.col("umi").isNotNull()).dropDuplicates(["bc_id"]).select("bc_id", F.upper("umi").alias("s"))
+    side = lambda k: umis.select(F.col("bc_id").alias(f"bc_id_{k}"), F.col("s").alias(k))
+    rows = table(spark, sf, "umi_links").dropDuplicates(["link_id"]).join(side("a"), "bc_id_a").join(side("b"), "bc_id_b")
+    a, b = F.col("a"), F.col("b")
+    return rows.select("link_id", F.when(F.length(a) == F.length(b), S.hamming(a, b)).alias("ham"), S.levenshtein(a, b).alias("lev"), S.subseq(a, 2, 7).alias("part"), F.startswith(a, F.lit("A")).alias("starts_a"))
 
 
 @query(f"with {R_SQL} select rec_id, list_sum([case when substr(seq, i, 1) = substr(barcode, i, 1) then 1 else 0 end for i in range(1, least(length(seq), length(barcode)) + 1)])::int matches from r where length(barcode) > 0")
@@ -672,6 +636,76 @@ def trim_umi_reads(spark: SparkSession, sf: str) -> DataFrame:
     return trim.clip_pairs(_read_pairs(spark, sf), umi_bases=6, least_qual=20)
 
 
+_LEFT, _RIGHT = (trim.ADAPTERS[k] for k in ("read1", "read2"))
+_CLEAN = "regexp_full_match(barcode, '[ACGT]{6,}') and regexp_full_match(seq, '[ACGT]+') and length(seq) >= 24"
+
+
+def _clean_reads(spark: SparkSession, sf: str) -> DataFrame:
+    return reads(spark, sf).where(F.col("barcode").rlike("^[ACGT]{6,}$") & F.col("seq").rlike("^[ACGT]+$") & (F.length("seq") >= 24)).withColumn("umi", F.substring("barcode", 1, 6))
+
+
+@query(f"with {R_SQL} select rec_id::varchar as name, substr(barcode, 1, 6) umi, seq seq1, qual qual1, {_RC.format('seq')} seq2, reverse(qual) qual2 from r where {_CLEAN}")
+def trim_read_through(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs that read through their insert into UMI and adapters, some with a miscalled base in the adapter or with read 1 going on too."""
+    n, kind = F.length("seq"), F.pmod("rec_id", F.lit(3))
+    adapter = F.when(kind == 0, _LEFT[:14]).when(kind == 1, _LEFT).otherwise(_LEFT[:9] + "N" + _LEFT[10:24])
+    beyond1, beyond2 = F.when(kind == 2, _RIGHT[:20]).otherwise(""), F.concat(S.reverse_complement(F.col("umi")), adapter)
+    good = lambda text: F.repeat(F.lit("I"), F.length(text))
+    rows = _clean_reads(spark, sf).withColumns({"beyond1": beyond1, "beyond2": beyond2, "back": S.reverse_complement(F.col("seq"))})
+    name = F.col("rec_id").cast("string")
+    rows = rows.select(name.alias("id1"), F.concat("umi", "seq", "beyond1").alias("seq1"), F.concat(F.lit("IIIIII"), "qual", good(F.col("beyond1"))).alias("qual1"), name.alias("id2"), F.concat("back", "beyond2").alias("seq2"), F.concat(F.reverse("qual"), good(F.col("beyond2"))).alias("qual2"))
+    return trim.clip_pairs(rows, umi_bases=6, least_qual=20)
+
+
+_OVER = f"""{R_SQL}, w as (select rec_id, seq, qual, length(seq) n, (length(seq) * 7) // 10 a, rec_id % 3 = 0 flawed from r where regexp_full_match(seq, '[ACGT]+') and length(seq) >= 44),
+o as (select *, substr(seq, n - a + 1, 2 * a - n) mid, substr(qual, n - a + 1, 2 * a - n) mq from w),
+c as (select *, [case when flawed and i = 6 then 0 else least(0.99999999999, 1 - pow(10.0, -2 * (ascii(substr(mq, i, 1)) - 33) / 10.0)) end for i in range(1, length(mid) + 1)] p from o)"""
+
+
+@query(
+    f"""with {_OVER} select rec_id::varchar as name, case when flawed then substr(mid, 1, 5) || 'N' || substr(mid, 7) else mid end seq,
+array_to_string([chr(cast(floor(least(greatest(-10 * log10(1 - x) + 33, 33), 73) + 1e-9) as int)) for x in p], '') qual from c"""
+)
+def merge_partial_overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of which each has seven tenths of a fragment; in every third the mates differ in one base of the overlap."""
+    n = F.length("seq")
+    rows = reads(spark, sf).where(F.col("seq").rlike("^[ACGT]+$") & (n >= 44)).withColumn("a", F.expr("(length(seq) * 7) div 10").cast("int"))
+    back = F.substring("seq", n - F.col("a") + 1, F.col("a"))
+    other = F.translate(F.substring(back, 6, 1), "ACGT", "CGTA")
+    back = F.when(F.col("rec_id") % 3 == 0, F.concat(F.substring(back, 1, 5), other, F.substring(back, F.lit(7), F.col("a")))).otherwise(back)
+    name = F.col("rec_id").cast("string")
+    rows = rows.select(name.alias("id1"), F.substring("seq", F.lit(1), F.col("a")).alias("seq1"), F.substring("qual", F.lit(1), F.col("a")).alias("qual1"), name.alias("id2"), S.reverse_complement(back).alias("seq2"), F.reverse(F.substring("qual", n - F.col("a") + 1, F.col("a"))).alias("qual2"))
+    return trim.merge_pairs(rows, mode="vote")
+
+
+@query(f"with {R_SQL} select rec_id, 0 ref_start, 9 ref_end, 0 query_start, 9 query_end, 9 matches, 0 errors from r where regexp_full_match(seq, '[ACGT]+')")
+def locate_anchored(spark: SparkSession, sf: str) -> DataFrame:
+    """A read's first nine bases in the read, with neither start free: an alignment of prefixes."""
+    rows = reads(spark, sf).where(F.col("seq").rlike("^[ACGT]+$"))
+    hit = locate(F.substring("seq", 1, 9), F.col("seq"), 0.1, free=("query_end",))
+    return rows.select("rec_id", hit.alias("hit")).select("rec_id", "hit.*")
+
+
+@query(f"with {R_SQL} select rec_id, seq mid from r where regexp_full_match(seq, '[ACGT]+')")
+def locate_whole_reference(spark: SparkSession, sf: str) -> DataFrame:
+    """A read between two adapters, found with its own ends fixed and those of the longer text free."""
+    rows = reads(spark, sf).where(F.col("seq").rlike("^[ACGT]+$")).withColumn("long", F.concat(F.lit(_LEFT), "seq", F.lit(_RIGHT)))
+    hit = locate(F.col("seq"), F.col("long"), 0.05, free=("query_start", "query_end"))
+    rows = rows.select("rec_id", "long", hit.alias("hit")).where((F.col("hit.errors") == 0) & (F.col("hit.ref_start") == 0))
+    return rows.select("rec_id", F.substring("long", F.col("hit.query_start") + 1, F.col("hit.query_end") - F.col("hit.query_start")).alias("mid"))
+
+
+@query(
+    f"""with {ALL_SQL}, x as (select substr(seq, i, 7) kmer, count(*) c from (select seq, unnest(range(1, length(seq) - 5)) i from r) group by 1),
+e as (select kmer, c, unnest([kmer] || flatten([[substr(kmer, 1, i - 1) || b || substr(kmer, i + 1) for b in ['A','C','G','T']] for i in range(1, 8)])) k1 from x),
+d as (select distinct kmer, c, k1 from e where regexp_full_match(k1, '[ACGT]+'))
+select k1 as "key", sum(c)::bigint n from d group by 1"""
+)
+def gapped_kmer_seven(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys of seven bases within one edit, generated: between texts of one length, one edit is one base."""
+    return kmers.generated_gapped_kmers(sequences(spark, sf, 7).withColumn("all", F.lit(0)), "all", "seq", 7, 1).select("key", "n")
+
+
 @query(None)
 def merge_read_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return trim.merge_pairs(_read_pairs(spark, sf))
@@ -707,6 +741,14 @@ def exon_table(spark: SparkSession, sf: str) -> DataFrame:
     return genes.exon_table(transcripts(spark, sf))
 
 
+@query(f"""with {_TX}, z as (select *, sum(has_s::int) over (partition by tid order by num) a1, sum(has_e::int) over (partition by tid order by num) a2 from ex where cds <> cde)
+select tid, num::int exon_num, has_s or has_e or (a1 > 0 and a2 = 0) is_coding, has_s and has_e whole_coding from z""")
+def coding_exons(spark: SparkSession, sf: str) -> DataFrame:
+    """What the exons of coding transcripts hold of the coding sequence."""
+    found = genes.coding_exons(genes.exon_table(genes.coding_only(transcripts(spark, sf))))
+    return found.select("tid", "exon_num", "is_coding", "whole_coding")
+
+
 @query(f'with {_TX} select tid, num::int exon_num, s as "start", e as "end" from ex where has_s qualify row_number() over (partition by tid order by num) = 1')
 def first_coding_exon(spark: SparkSession, sf: str) -> DataFrame:
     return genes.first_coding_exon(transcripts(spark, sf))
@@ -786,26 +828,6 @@ def binom_cdf(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.round(P.binom_cdf(i % 12, 10 + i % 30, 0.05 + (i % 17) / 20.0), 6).alias("cdf"))
 
 
-def _matrix(spark: SparkSession, sf: str) -> DataFrame:
-    rows = frags(spark, sf).where(F.col("lib_id").isNotNull())
-    return rows.groupBy(F.concat_ws(":", "chrom", F.expr("start div 40000000").cast("string")).alias("gene"), F.pmod("frag_id", F.lit(4)).alias("sample")).agg(F.count(F.lit(1)).alias("n"))
-
-
-_MATRIX = f"""with {F_SQL}, m as (select chrom || ':' || ("start" // 40000000) gene, frag_id % 4 sample, count(*) n from f where lib_id is not null group by 1, 2),
-g as (select gene, avg(ln(n)) mu from m group by 1 having count(*) = (select count(distinct sample) from m)),
-z as (select sample, exp(quantile_cont(ln(n) - mu, 0.5)) sf from m join g using (gene) group by 1)"""
-
-
-@query(_MATRIX + " select sample, round(sf, 6) size_factor from z")
-def size_factors(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.size_factors(_matrix(spark, sf), "gene", "sample", "n").withColumn("size_factor", F.round("size_factor", 6))
-
-
-@query(_MATRIX + " select gene, sample, n, round(n / sf, 6) normalized from m join z using (sample)")
-def normalized_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.normalized_counts(_matrix(spark, sf), "gene", "sample", "n").withColumn("normalized", F.round("normalized", 6))
-
-
 def _gene_matrix(spark: SparkSession, sf: str) -> DataFrame:
     """Fragments of each library on each gene's place."""
     rows = frags(spark, sf).where(F.col("lib_id").isNotNull()).select("lib_id", "chrom", "start", "end")
@@ -853,9 +875,14 @@ def least_squares(spark: SparkSession, sf: str) -> DataFrame:
     return stats.least_squares(table(spark, sf, "lineitem"), ["l_quantity", "l_discount"], "l_extendedprice").withColumn("beta", F.round("beta", 4))
 
 
-@query(None)
+@query(
+    """with e as (select "value" v, row_number() over (order by event_id) - 1 place from events where "value" is not null),
+d as (select i // 500 as "round", i % 500 nth from (select unnest(range(0, 10000)) i)),
+p as (select "round", ('0x' || substr(md5(concat_ws(':', '0', "round", nth)), 1, 15))::bigint % (select count(*) from e) place from d)
+select "round", round(avg(v), 6) as mean from p join e using (place) group by 1"""
+)
 def bootstrap_means(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.bootstrap_means(table(spark, sf, "events"), "value", ["event_id"], 500, 20)
+    return stats.bootstrap_means(table(spark, sf, "events"), "value", ["event_id"], 500, 20).withColumn("mean", F.round("mean", 6))
 
 
 @query("with c as (select group_id, upper(umi) u, count(*) n from (select distinct bc_id, group_id, umi from barcode_sets) where umi is not null and group_id is not null group by 1, 2) select group_id, u as mode from c qualify row_number() over (partition by group_id order by n desc, u desc) = 1")
