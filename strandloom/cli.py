@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from strandloom.operators import pairs, pileup, trim, umi
 from strandloom.plans import pipelines
 from strandloom.session import ship_package
-from strandloom.sources import sequences, sinks, tables
+from strandloom.sources import bigwig, sequences, sinks, tables
 
 
 def _is_bam(path: str) -> bool:
@@ -107,7 +107,11 @@ def deinterleave(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def cov2bw(spark: SparkSession, a: argparse.Namespace) -> None:
-    pileup.bedgraph(tables.read_depth(spark, a.input)).write.mode("overwrite").partitionBy("chrom").option("sep", "\t").csv(a.output)
+    runs = pileup.bedgraph(tables.read_depth(spark, a.input))
+    if a.sizes:
+        bigwig.write_bigwig(runs, tables.read_sizes(spark, a.sizes), a.output, a.prefix)
+    else:
+        runs.write.mode("overwrite").partitionBy("chrom").option("sep", "\t").csv(a.output)
 
 
 def filter_soft_clip(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -177,7 +181,7 @@ def parser() -> argparse.ArgumentParser:
     add("clipFQ", clip_fq, *fastqs, arg("-b", "--barcode", default="XXXXXX"), arg("-l", "--min_length", type=int, default=12), arg("--gzip", **yes), help="UMIs and adapters off read pairs")
     add("dedup", dedup, *io, arg("-t", "--threshold", type=int, default=1), arg("-d", "--delimiter", default="_"), arg("-f", "--fragment", type=int, default=0), arg("--method", choices=["directional", "adjacency", "exact"], default="directional"), arg("--cigar", **yes), help="molecules of BED fragments")
     add("deinterleave", deinterleave, arg("-i", "--input", required=True), arg("-1", "--output1", required=True), arg("-2", "--output2", required=True), arg("-l", "--min_length", type=int, default=0), help="interleaved pairs into two files")
-    add("cov2bw", cov2bw, *io, help="depth into bedGraph runs by chromosome")
+    add("cov2bw", cov2bw, *io, arg("-g", "--sizes"), arg("--prefix", default="depth"), help="depth into a bigWig file for each chromosome of --sizes, without it into bedGraph runs")
     add("correctFQ", correct_fq, *fastqs, arg("-u", "--umi", type=int, default=6), arg("-x", "--constant", default=""), arg("-n", "--min_members", type=int, default=1), arg("-f", "--fraction", type=float, default=0.8), arg("--failed"), help="consensus pairs of barcode families")
     add("filterSoftClip", filter_soft_clip, *io, arg("--pe", **yes), arg("-s", "--single_end", type=float, default=0.2), arg("-b", "--both_end", type=float, default=0.5), arg("-v", "--inverse", **yes), help="alignments with little soft clipping")
     add("filterUMI", filter_umi, *io, arg("-n", "--consecutive_bases", type=int, default=3), arg("-t", "--tag"), help="alignments without runs in their UMI")

@@ -15,7 +15,7 @@ from strandloom.queries.core_problems import table
 from strandloom.queries.sequencing import _MATES, _TX, ALL_SQL, F_SQL, R_SQL, alignments, frags, reads, sequences, transcripts
 from strandloom.session import scratch_folder, settle
 from strandloom.sources import sequences as readers
-from strandloom.sources import sinks, tables
+from strandloom.sources import bigwig, sinks, tables
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -193,3 +193,15 @@ def file_depth(spark: SparkSession, sf: str) -> DataFrame:
     sinks.write_tsv(frags(spark, sf).groupBy("chrom", (F.col("start") + 1).alias("pos")).agg(F.count(F.lit(1)).alias("n")), folder)
     runs = pileup.bedgraph(tables.read_depth(spark, folder))
     return runs.select("chrom", F.explode(F.sequence("start", F.col("end") - 1)).alias("start"), "value")
+
+
+@query(f"""with {F_SQL}, d as (select chrom, "start", count(*)::double n from f group by all), z as (select chrom, max("end") size from f group by 1)
+select chrom, "start", n as "value", size from d join z using (chrom)""")
+def file_bigwig(spark: SparkSession, sf: str) -> DataFrame:
+    """Fragments that begin at each place, through bigWig files that cover every chromosome; the zeros between are left out here."""
+    rows = frags(spark, sf)
+    depth = rows.groupBy("chrom", (F.col("start") + 1).alias("pos")).agg(F.count(F.lit(1)).alias("value"))
+    folder = scratch_folder(spark, "bigwig")
+    bigwig.write_bigwig(pileup.bedgraph(depth), rows.groupBy("chrom").agg(F.max("end").alias("size")), folder)
+    back = bigwig.read_bigwig(spark, f"{folder}/*.bigWig").where("value > 0")
+    return back.select("chrom", "size", F.explode(F.sequence("start", F.col("end") - 1)).alias("start"), "value")
