@@ -85,20 +85,45 @@ def least_squares(df: DataFrame, features: Sequence[str], target: str) -> DataFr
 
     Rows with a null are left out. The sums are as many as pairs of features.
     """
+    a, b, _, _ = _normal_sums(df, features, target)
+    beta = np.linalg.lstsq(a, b, rcond=None)[0]
+    return df.sparkSession.createDataFrame([(f, float(x)) for f, x in zip(features, beta)], "feature string, beta double")
+
+
+def _normal_sums(df: DataFrame, features: Sequence[str], target: str) -> tuple[np.ndarray, np.ndarray, float, int]:
+    """Sums of products of the features with each other and with the target, of the target's squares, and the number of rows without a null."""
     cols = [*features, target]
     rows = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)]).dropna()
-    pairs = [(i, j) for i in range(len(features)) for j in range(i, len(cols))]
-    sums = rows.agg(*[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in pairs]).first()
     k = len(features)
-    a, b = np.zeros((k, k)), np.zeros(k)
+    pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    sums = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in pairs]).first()
+    whole = np.zeros((k + 1, k + 1))
     for i, j in pairs:
-        value = sums[f"s{i}_{j}"] or 0.0
-        if j == k:
-            b[i] = value
-        else:
-            a[i, j] = a[j, i] = value
-    beta = np.linalg.lstsq(a, b, rcond=None)[0]
-    return df.sparkSession.createDataFrame([(f, float(x)) for f, x in zip(features, beta)], "feature string, beta double")
+        whole[i, j] = whole[j, i] = sums[f"s{i}_{j}"] or 0.0
+    return whole[:k, :k], whole[:k, k], float(whole[k, k]), sums.n
+
+
+def gradient_descent(df: DataFrame, features: Sequence[str], target: str, *, rate: float = 0.1, rounds: int = 1000, limit: float = 0.0, patience: int = 5) -> DataFrame:
+    """``round, cost, betas``: a linear model without intercept, step by step from 0, with its error after each step.
+
+    ``cost`` is the root of the mean squared residual. Steps go ``rate`` times
+    down the mean gradient; they end after ``rounds``, or once ``patience`` of
+    them in a row have changed the cost by less than ``limit``. The rows are
+    read once: error and gradient follow from the sums of the normal equations,
+    as many as pairs of columns, so that rounds cost nothing. Rows with a null
+    are left out; without a row there is no step.
+    """
+    a, b, c, n = _normal_sums(df, features, target)
+    beta, last, still, history = np.zeros(len(features)), np.inf, 0, []
+    for k in range(1, rounds + 1 if n else 1):
+        beta = beta - rate * (a @ beta - b) / n
+        cost = float(np.sqrt(max(0.0, beta @ a @ beta - 2 * b @ beta + c) / n))
+        history.append((k, cost, [float(x) for x in beta]))
+        still = still + 1 if abs(last - cost) < limit else 0
+        last = cost
+        if still >= patience:
+            break
+    return df.sparkSession.createDataFrame(history, "round int, cost double, betas array<double>")
 
 
 def bootstrap_places(spark, size: int, group_size: int, rounds: int, seed: int = 0) -> DataFrame:  # noqa: ANN001

@@ -205,3 +205,63 @@ def file_bigwig(spark: SparkSession, sf: str) -> DataFrame:
     bigwig.write_bigwig(pileup.bedgraph(depth), rows.groupBy("chrom").agg(F.max("end").alias("size")), folder)
     back = bigwig.read_bigwig(spark, f"{folder}/*.bigWig").where("value > 0")
     return back.select("chrom", "size", F.explode(F.sequence("start", F.col("end") - 1)).alias("start"), "value")
+
+
+@query(f"""with {F_SQL}, b as (select *, case when frag_id % 7 = 0 then strand when strand = '+' then '-' else '+' end o from f)
+select chrom, "start", "end", frag_id::varchar as name, "end" - "start" as length, strand from b where strand <> o and "end" - "start" > 100 and "end" - "start" < 1000""")
+def file_bedpe(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of ends through BEDPE into fragments."""
+    other = F.when(F.col("frag_id") % 7 == 0, F.col("strand")).when(F.col("strand") == "+", "-").otherwise("+")
+    mid = F.expr("start + (end - start) div 2")
+    rows = frags(spark, sf).select(F.col("chrom"), F.col("start"), mid.alias("m"), F.col("chrom").alias("c2"), mid.alias("m2"), F.col("end"), F.col("frag_id").cast("string"), F.lit("0").alias("score"), F.col("strand"), other.alias("o"))
+    folder = scratch_folder(spark, "bedpe")
+    sinks.write_tsv(rows, folder)
+    return pairs.bedpe_fragments(tables.read_bedpe(spark, folder), min_size=100, max_size=1000)
+
+
+@query(f"with {_TX} select tid, strand, exon_count, list_sum([x::bigint for x in a])::bigint starts, list_sum([x::bigint for x in b])::bigint ends from tx where tx_start is not null and tx_end is not null and chrom is not null")
+def file_bed12(spark: SparkSession, sf: str) -> DataFrame:
+    """Transcripts through BED12, blocks relative to their start, and back to places."""
+    rows = transcripts(spark, sf).where(F.col("tx_start").isNotNull() & F.col("tx_end").isNotNull() & F.col("chrom").isNotNull())
+    packed = lambda c: F.concat(F.array_join(F.transform(c, lambda x: x.cast("string")), ","), F.lit(","))
+    sizes = F.zip_with("exon_starts", "exon_ends", lambda a, b: b - a)
+    begins = F.transform("exon_starts", lambda a: a - F.col("tx_start"))
+    folder = scratch_folder(spark, "bed12")
+    sinks.write_tsv(rows.select("chrom", "tx_start", "tx_end", "tid", F.lit("0").alias("score"), "strand", "cds", "cde", F.lit("0").alias("rgb"), "exon_count", packed(sizes), packed(begins)), folder)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return tables.read_bed12(spark, folder).select("tid", "strand", "exon_count", total("exon_starts").alias("starts"), total("exon_ends").alias("ends"))
+
+
+@query("""with l as (select lib_id, count(*) n from (select distinct frag_id, lib_id from fragments where lib_id is not null) group by 1),
+m as (select lib_id, unnest(['Utr bases', 'R1 transcript strand reads', 'Coding bases']) variable, unnest([n / 7.0, 0.5, n / 11.0]) v from l)
+select lib_id, variable, round(v, 6) var_count from m where variable <> 'R1 transcript strand reads'""")
+def file_picard(spark: SparkSession, sf: str) -> DataFrame:
+    """A page of metrics for each library, read as one table."""
+    counts = table(spark, sf, "fragments").select("frag_id", "lib_id").where(F.col("lib_id").isNotNull()).distinct().groupBy("lib_id").agg(F.count(F.lit(1)).alias("n"))
+    head = "\n".join(["#"] * 6 + ["PCT_UTR_BASES\tPCT_R1_TRANSCRIPT_STRAND_READS\tPCT_CODING_BASES", ""])
+    text = F.concat(F.lit(head), F.concat_ws("\t", (F.col("n") / 7).cast("string"), F.lit("0.5"), (F.col("n") / 11).cast("string")))
+    folder = scratch_folder(spark, "picard")
+    counts.select("lib_id", text.alias("value")).repartition("lib_id").write.partitionBy("lib_id").text(folder)
+    found = tables.read_picard_rna(spark, f"{folder}/lib_id=*/*.txt", "base")
+    return found.select(F.regexp_extract("samplename", "lib_id=([0-9]+)", 1).cast("long").alias("lib_id"), "variable", F.round("var_count", 6).alias("var_count"))
+
+
+@query("""with g as (select distinct chrom, start_pos - 1 a, end_pos b from gtf_records where feature_type = 'gene' and chrom is not null and start_pos <= end_pos)
+select chrom, a as "start", b as "end" from g""")
+def file_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """Genes' places through a list of regions with comments."""
+    rows = table(spark, sf, "gtf_records").where((F.col("feature_type") == "gene") & F.col("chrom").isNotNull() & (F.col("start_pos") <= F.col("end_pos")))
+    lines = rows.select(F.concat_ws("\t", "chrom", F.col("start_pos") - 1, "end_pos").alias("value")).distinct()
+    folder = scratch_folder(spark, "regions")
+    lines.unionByName(spark.createDataFrame([("# chrom start end",), ("",)], "value string")).write.text(folder)
+    return tables.read_regions(spark, folder)
+
+
+@query(f"with {ALL_SQL} select rec_id, substr(seq, 6, 9) piece from r where seq <> ''")
+def file_fasta_region(spark: SparkSession, sf: str) -> DataFrame:
+    """Bases 5 to 14 of every sequence, looked up by place in indexed FASTA files."""
+    folder = scratch_folder(spark, "fasta")
+    sinks.write_fasta(sequences(spark, sf, 1).select(F.col("rec_id").cast("string").alias("seq_id"), "seq"), folder)
+    readers.index_files(spark, f"{folder}/part-*").count()
+    names = readers.read_fasta(spark, folder).select("file", F.col("seq_id").alias("chrom"), F.lit(5).alias("start"), F.lit(14).alias("end"))
+    return readers.region_bases(names).select(F.col("chrom").cast("long").alias("rec_id"), F.col("seq").alias("piece"))

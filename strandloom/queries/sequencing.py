@@ -925,3 +925,63 @@ def tbl_split(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "annot_lines").dropDuplicates(["line_id"]).where(~F.col("raw_line").rlike(r"^(#|\s*$)"))
     tidy = F.trim(F.regexp_replace("raw_line", r"\s+", " "))
     return rows.select("line_id", *infernal_columns(tidy)).select("line_id", "target_name", "query_name", F.coalesce("description", F.lit("")).alias("description"))
+
+
+@query(f"with {_MATES}, u as (select frag_id::varchar qname, f1 flag, mapq from a union all select frag_id::varchar, f2, mapq from a) select qname, flag, case when mapq >= 42 then 'unique' else 'multi' end bucket from u where mapq is not null")
+def split_unique_single(spark: SparkSession, sf: str) -> DataFrame:
+    """Single reads apart by the number of their hits."""
+    return pairs.route_unique_single(alignments(spark, sf).where(F.col("mapq").isNotNull()), "hisat2").select("qname", "flag", "bucket")
+
+
+@query(f"with {_MATES}, u as (select frag_id::varchar qname, f1 flag from a union all select frag_id::varchar, f2 from a) select qname, flag from u where flag in (99, 147, 83, 163)")
+def concordant_reads(spark: SparkSession, sf: str) -> DataFrame:
+    """Reads whose flag is one of a concordant pair's."""
+    return alignments(spark, sf).where(G.concordant(F.col("flag"))).select("qname", "flag")
+
+
+@query(
+    f"""with {_PLACED}, {_PILE}, {_GENES}, q as (select chrom || ':' || gs || '-' || ge region, p.* exclude (chrom) from pu p join g using (chrom) where pos >= gs and pos < ge),
+l as (select region, pos, s, x.b, x.n from (select region, pos, unnest(['+', '-']) s, unnest([[{", ".join("{'n': " + chr(34) + b + "+" + chr(34) + ", 'b': '" + b + "'}" for b in pileup.BASES)}], [{", ".join("{'n': " + chr(34) + b + "-" + chr(34) + ", 'b': '" + b + "'}" for b in pileup.BASES)}]]) xs from q) t, unnest(xs) u(x) where x.n > 0),
+c as (select region, pos, s, b from l qualify row_number() over (partition by region, pos, s order by n desc, b) = 1)
+select region || '(' || s || ')' seq_id, case when s = '+' then string_agg(b, '' order by pos) else reverse(string_agg(b, '' order by pos)) end seq from c group by region, s"""
+)
+def strand_fasta_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """The consensus of both strands over every gene."""
+    from strandloom.plans.pipelines import strand_fasta as by_regions
+
+    return by_regions(_piled(spark, sf), _genes(spark, sf))
+
+
+@query(f"with {_TX} select tid, strand, exon_count from tx where split_part(tid, '#', 1) = (select max(split_part(tid, '#', 1)) from tx)")
+def gene_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """The transcripts of one gene, the last by name."""
+    rows = transcripts(spark, sf).withColumn("gene", F.split("tid", "#")[0])
+    return genes.transcripts_of(rows, rows.agg(F.max("gene")).first()[0]).select("tid", "strand", "exon_count")
+
+
+@query("select distinct lang from documents where lang is not null and lang not in (select lang from documents where lang is not null group by 1 order by count(*) desc, lang limit 2)")
+def categories_without_code(spark: SparkSession, sf: str) -> DataFrame:
+    """Languages beyond the two commonest, which alone have a colour."""
+    rows = table(spark, sf, "documents").where(F.col("lang").isNotNull())
+    top = rows.groupBy("lang").agg((-F.count(F.lit(1))).alias("n")).orderBy("n", "lang").limit(2)
+    return stats.unseen_categories(rows, stats.color_codes(top, "lang", "n", stats.PALETTES["okabeito"]), "lang")
+
+
+@query("select event_id, greatest(least(\"value\", 50.0), 10.0) bounded, '<' || event_id || '>' marked from events where \"value\" is not null")
+def bounded_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Values within bounds, and ids between marks."""
+    rows = table(spark, sf, "events").where(F.col("value").isNotNull())
+    return rows.select("event_id", P.bounded(F.col("value"), 10.0, 50.0).alias("bounded"), S.highlight(F.col("event_id").cast("string"), "<", ">").alias("marked"))
+
+
+@query(
+    """with recursive x as (select (l_quantity / 50.0)::double a, l_discount::double b, (l_extendedprice / 100000.0)::double y from lineitem),
+s as (select count(*)::double n, sum(a * a) aa, sum(a * b) ab, sum(b * b) bb, sum(a * y) ay, sum(b * y) "by", sum(y * y) yy from x),
+r(k, p, q) as (select 0, 0.0::double, 0.0::double union all select k + 1, p - 0.5 * (aa * p + ab * q - ay) / n, q - 0.5 * (ab * p + bb * q - "by") / n from r, s where k < 30)
+select k as "round", round(sqrt((aa * p * p + 2 * ab * p * q + bb * q * q - 2 * ay * p - 2 * "by" * q + yy) / n), 6) as cost, round(p, 6) beta_a, round(q, 6) beta_b from r, s where k > 0"""
+)
+def regression_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """A regression step by step, with its error."""
+    rows = table(spark, sf, "lineitem").select((F.col("l_quantity") / 50).alias("a"), F.col("l_discount").alias("b"), (F.col("l_extendedprice") / 100_000).alias("y"))
+    out = stats.gradient_descent(rows, ["a", "b"], "y", rate=0.5, rounds=30)
+    return out.select("round", F.round("cost", 6).alias("cost"), *[F.round(F.col("betas")[i], 6).alias(f"beta_{c}") for i, c in enumerate("ab")])

@@ -676,6 +676,77 @@ def read_fasta(spark: SparkSession, path: str, tile: int = 0) -> DataFrame:
     return rows.withColumnRenamed("ordinal", "tile") if tile else rows
 
 
+def index_fasta(path: str) -> str:
+    """Write the index (``.fai``: name, bases, place, bases and bytes a line) of a plain FASTA file beside it; its path."""
+    rows, at = [], 0
+    with open(path, "rb") as handle:
+        for line in handle:
+            at += len(line)
+            text = line.rstrip(b"\r\n")
+            if line.startswith(b">"):
+                rows.append([(text[1:].split() or [b""])[0].decode(), 0, at, 0, 0])
+            elif rows:
+                rows[-1][1] += len(text)
+                rows[-1][3:] = [rows[-1][3] or len(text), rows[-1][4] or len(line)]
+    with open(f"{path}.fai", "w") as out:
+        out.writelines("\t".join(map(str, r)) + "\n" for r in rows)
+    return f"{path}.fai"
+
+
+def fetch_bases(path: str, regions: list[tuple[str, int, int]]) -> list[str | None]:
+    """The bases of half-open regions of an indexed FASTA file, cut at a sequence's end; None for an unknown sequence."""
+    known = {}
+    with open(f"{path}.fai") as index:
+        for line in index:
+            name, *numbers = line.rstrip("\n").split("\t")
+            known[name] = tuple(map(int, numbers))
+    out: list[str | None] = []
+    with open(path, "rb") as handle:
+        for name, start, end in regions:
+            if name not in known:
+                out.append(None)
+                continue
+            size, first, bases, width = known[name]
+            start, end = max(0, start), min(end, size)
+            if start >= end:
+                out.append("")
+                continue
+            at = lambda k: first + k // bases * width + k % bases  # noqa: B023, E731
+            handle.seek(at(start))
+            out.append(handle.read(at(end - 1) + 1 - at(start)).translate(None, b"\r\n").decode())
+    return out
+
+
+def index_files(spark: SparkSession, path: str) -> DataFrame:
+    """Index every BAM (sorted by place) or plain FASTA file of a path, a task each; ``file, index`` of them. Nothing is done before the rows are asked for."""
+    files = [f for f in expanded(path) if not f.endswith((".bai", ".fai"))]
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [(index_bam if f.endswith(".bam") else index_fasta)(f) for f in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], ["file", "index"])
+
+    return spark.createDataFrame([(f,) for f in files], "file string").repartition(len(files)).mapInArrow(build, "file string, index string")
+
+
+def region_bases(regions: DataFrame, path: str = "") -> DataFrame:
+    """``chrom, start, end, seq`` of regions, looked up in an indexed FASTA file that every executor can reach: ``path``, or the one a row's ``file`` names. Null where it hasn't the sequence."""
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = list(zip(*(c.to_pylist() for c in batch.columns)))
+            found: list[str | None] = [None] * len(rows)
+            for name in {r[0] for r in rows}:
+                mine = [i for i, r in enumerate(rows) if r[0] == name]
+                for i, seq in zip(mine, fetch_bases(name, [rows[i][1:] for i in mine])):
+                    found[i] = seq
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.string())], ["chrom", "start", "end", "seq"])
+
+    file = F.col("file") if "file" in regions.columns else F.lit(path)
+    rows = regions.select(file.alias("file"), "chrom", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).dropna()
+    return rows.mapInArrow(look_up, "chrom string, start long, end long, seq string")
+
+
 def read_bam(spark: SparkSession, path: str, **options: object) -> DataFrame:
     """Alignments of BAM files; see :class:`BamSource` for the options."""
     register(spark)

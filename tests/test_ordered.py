@@ -209,3 +209,23 @@ def test_free_ends(free):
     assert locate_batch(["ACG"], ["TTACGTT"], 0, free=("query_end",)) == [None]
     with pytest.raises(ValueError):
         locate_batch(["A"], ["A"], 0, free=("end",))
+
+
+def test_bases_of_regions_of_an_indexed_file(spark, tmp_path):
+    text = "".join(random.Random(5).choices("ACGT", k=333))
+    (tmp_path / "r.fa").write_text(">c about\n" + "\n".join(text[a : a + 50] for a in range(0, 333, 50)) + "\n>e\n>d\nACGT\n")
+    assert sequences.index_files(spark, str(tmp_path / "r.fa")).first().index.endswith("r.fa.fai")
+    regions = [("c", 0, 3), ("c", 49, 51), ("c", 120, 333), ("c", 330, 900), ("c", 400, 500), ("d", 1, 3), ("e", 0, 5), ("x", 0, 1)]
+    got = [(r.chrom, r.start, r.end, r.seq) for r in sequences.region_bases(spark.createDataFrame(regions, "chrom string, start int, end int"), str(tmp_path / "r.fa")).collect()]
+    want = {"c": text, "d": "ACGT", "e": "", "x": None}
+    assert sorted(got) == sorted((c, a, b, want[c][a:b] if want[c] is not None else None) for c, a, b in regions)
+
+
+def test_gradient_descent_comes_to_least_squares(spark):
+    from strandloom.operators import stats
+
+    df = spark.createDataFrame([(float(i % 7), float(i % 5) - 2, 2.0 * (i % 7) - 3.0 * (i % 5 - 2)) for i in range(200)] + [(None, 1.0, 1.0)], "a double, b double, y double")
+    steps = stats.gradient_descent(df, ["a", "b"], "y", rate=0.05, rounds=2000, limit=1e-9).orderBy("round").collect()
+    assert [round(x, 4) for x in steps[-1].betas] == [2.0, -3.0] and steps[-1].cost < 1e-4 and len(steps) < 2000
+    assert all(a.cost >= b.cost for a, b in zip(steps, steps[1:]))
+    assert stats.gradient_descent(df.limit(0), ["a"], "y").count() == 0
