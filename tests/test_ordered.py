@@ -214,7 +214,7 @@ def test_free_ends(free):
 def test_bases_of_regions_of_an_indexed_file(spark, tmp_path):
     text = "".join(random.Random(5).choices("ACGT", k=333))
     (tmp_path / "r.fa").write_text(">c about\n" + "\n".join(text[a : a + 50] for a in range(0, 333, 50)) + "\n>e\n>d\nACGT\n")
-    assert sequences.index_files(spark, str(tmp_path / "r.fa")).first().index.endswith("r.fa.fai")
+    assert sequences.index_files(spark, str(tmp_path / "r.fa")).first()["index"].endswith("r.fa.fai")
     regions = [("c", 0, 3), ("c", 49, 51), ("c", 120, 333), ("c", 330, 900), ("c", 400, 500), ("d", 1, 3), ("e", 0, 5), ("x", 0, 1)]
     got = [(r.chrom, r.start, r.end, r.seq) for r in sequences.region_bases(spark.createDataFrame(regions, "chrom string, start int, end int"), str(tmp_path / "r.fa")).collect()]
     want = {"c": text, "d": "ACGT", "e": "", "x": None}
