@@ -227,5 +227,5 @@ def test_gradient_descent_comes_to_least_squares(spark):
     df = spark.createDataFrame([(float(i % 7), float(i % 5) - 2, 2.0 * (i % 7) - 3.0 * (i % 5 - 2)) for i in range(200)] + [(None, 1.0, 1.0)], "a double, b double, y double")
     steps = stats.gradient_descent(df, ["a", "b"], "y", rate=0.05, rounds=2000, limit=1e-9).orderBy("round").collect()
     assert [round(x, 4) for x in steps[-1].betas] == [2.0, -3.0] and steps[-1].cost < 1e-4 and len(steps) < 2000
-    assert all(a.cost >= b.cost for a, b in zip(steps, steps[1:]))
+    assert all(a.cost > b.cost - 1e-5 for a, b in zip(steps, steps[1:]))  # the cost is a difference of sums
     assert stats.gradient_descent(df.limit(0), ["a"], "y").count() == 0
