@@ -26,14 +26,20 @@ def umi_counts_stream(fragments: DataFrame, keys: Sequence[str], umi: str, time:
     return timed.groupBy(F.window(time, window).alias("during"), *keys, F.col(umi).alias("umi")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def saturation_stream(fragments: DataFrame, keys: Sequence[str], umi: str, nt: int, time: str, lateness: str = "1 hour", window: str = "1 hour") -> DataFrame:
+def saturation_stream(fragments: DataFrame, keys: Sequence[str], umi: str, nt: int, time: str, lateness: str = "1 hour", window: str = "1 hour", exact: bool = False) -> DataFrame:
     """Molecules behind the distinct UMIs of each place and window.
 
-    The count of distinct UMIs is approximate (within 2 %), as state must not
-    hold every UMI seen.
+    The count of distinct UMIs is approximate (within 2 %), so that state does
+    not hold every UMI seen. ``exact`` counts them all: state then has a row for
+    each UMI of the windows still open, and a window comes out once when it
+    closes (append mode).
     """
-    timed = fragments.withWatermark(time, lateness)
-    seen = timed.groupBy(F.window(time, window).alias("during"), *keys).agg(F.approx_count_distinct(umi, 0.02).alias("n_umi"))
+    if exact:
+        each = umi_counts_stream(fragments, keys, umi, time, lateness, window).where(F.col("umi").isNotNull())
+        seen = each.groupBy(F.window(F.window_time("during"), window).alias("during"), *keys).agg(F.count(F.lit(1)).alias("n_umi"))
+    else:
+        timed = fragments.withWatermark(time, lateness)
+        seen = timed.groupBy(F.window(time, window).alias("during"), *keys).agg(F.approx_count_distinct(umi, 0.02).alias("n_umi"))
     return seen.withColumn("n_molecules", saturation_corrected(F.col("n_umi"), nt))
 
 

@@ -35,3 +35,11 @@ def test_runs_go_on_across_batches(spark, tmp_path):
     stream = spark.readStream.schema("file string, n int, tag string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = drained(streams.tag_runs_stream(stream, "file", "n", "tag"), "tag_runs", "append")
     assert sorted((f, n, run) for f, n, _, run in got) == [("f", 0, 0), ("f", 1, 0), ("f", 2, 1), ("f", 3, 1), ("g", 0, 0)]
+
+
+def test_exact_saturation_of_closed_windows(spark, tmp_path):
+    rows = [("c", "A", "00:05"), ("c", "A", "00:10"), ("c", "G", "00:20"), ("d", None, "00:30"), ("c", "A", "05:00")]
+    spark.createDataFrame([(c, u, f"2024-01-01 {t}:00") for c, u, t in rows], "chrom string, umi string, t string").selectExpr("chrom", "umi", "cast(t as timestamp) t").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("chrom string, umi string, t timestamp").parquet(str(tmp_path / "in"))
+    got = drained(streams.saturation_stream(stream, ["chrom"], "umi", 1, "t", exact=True), "umi_exact", "append")
+    assert [r[-3:] for r in got] == [("c", 2, 3)]
