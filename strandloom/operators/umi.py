@@ -135,17 +135,22 @@ def directional_clusters(counts: DataFrame, keys: Sequence[str], threshold: int
     return ranked.select(*keys, "umi", "n", F.col("label.u").alias("cluster"))
 
 
-def adjacency_clusters(counts: DataFrame, keys: Sequence[str], threshold: int = 1) -> DataFrame:
-    """Every UMI with its cluster, where any two UMIs within ``threshold`` edits are linked: ``keys..., umi, n, cluster``.
+def _one_edit_pairs(nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Candidates ``keys..., a, b`` for one edit: texts that are the same once each has lost one base or none.
 
-    Candidates share a stretch of the first that stands within ``threshold``
-    places in the second, as any two texts so close must. Clusters are named
-    like directional ones.
+    Every text one edit away shares such a form. A form holds at most the texts
+    that it gains a base to, its length times the letters in use, however alike
+    a group's texts are: that bounds the texts gathered and paired under it.
     """
-    ranked = _ranked(counts, keys)
-    if not threshold:
-        return ranked.select(*keys, "umi", "n", F.col("label.u").alias("cluster"))
-    nodes = counts.where(F.col("umi").isNotNull())
+    lost = F.transform(F.sequence(F.lit(0), F.length("umi") - 1), lambda i: F.concat(F.substring("umi", F.lit(1), i), F.substring("umi", i + 2, F.length("umi"))))
+    forms = F.array_distinct(F.concat(F.array("umi"), F.when(F.length("umi") > 0, lost).otherwise(F.array())))
+    held = nodes.select(*keys, "umi", F.explode(forms).alias("form")).groupBy(*keys, "form").agg(F.array_sort(F.collect_set("umi")).alias("near"))
+    pairs = F.flatten(F.transform("near", lambda a, i: F.transform(F.slice("near", i + 2, F.size("near")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    return held.where(F.size("near") > 1).select(*keys, F.explode(pairs).alias("x")).select(*keys, "x.*")
+
+
+def _slice_pairs(nodes: DataFrame, keys: Sequence[str], threshold: int) -> DataFrame:
+    """Candidates ``keys..., a, b`` for ``threshold`` edits: texts of which one has a stretch that stands within ``threshold`` places in the other."""
     parts = threshold + 1
     cut = F.transform(slices(F.length("umi"), parts), lambda s, i: F.struct(i.alias("nth"), F.substring("umi", s["start"] + 1, s["end"] - s["start"]).alias("part")))
     left = nodes.select(*keys, F.col("umi").alias("a"), F.length("umi").alias("len"), F.explode(cut).alias("x")).select(*keys, "a", "len", "x.nth", "x.part")
@@ -155,8 +160,23 @@ def adjacency_clusters(counts: DataFrame, keys: Sequence[str], threshold: int =
     right = right.withColumnsRenamed({c: f"{c}__r" for c in ("len", "nth", "part")})
     same = [F.col(k).eqNullSafe(F.col(f"{k}__r")) for k in keys]
     joined = left.join(right, [*same, *[F.col(c) == F.col(f"{c}__r") for c in ("len", "nth", "part")], F.col("a") != F.col("b")])
-    linked = joined.select(*keys, "a", "b").distinct().where(F.levenshtein("a", "b") <= threshold)
-    both = linked.select(*keys, F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(linked.select(*keys, F.col("b").alias("src"), F.col("a").alias("dst"))).distinct()
+    return joined.select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def adjacency_clusters(counts: DataFrame, keys: Sequence[str], threshold: int = 1) -> DataFrame:
+    """Every UMI with its cluster, where any two UMIs within ``threshold`` edits are linked: ``keys..., umi, n, cluster``.
+
+    Candidates come from an equi-join within the group: for one edit on the
+    forms that a UMI takes when it loses a base, for more on stretches that both
+    must share. Clusters are named like directional ones.
+    """
+    ranked = _ranked(counts, keys)
+    if not threshold:
+        return ranked.select(*keys, "umi", "n", F.col("label.u").alias("cluster"))
+    nodes = counts.where(F.col("umi").isNotNull())
+    candidates = _one_edit_pairs(nodes, keys) if threshold == 1 else _slice_pairs(nodes, keys, threshold)
+    linked = candidates.distinct().where(F.levenshtein("a", "b", threshold) >= 0)
+    both = linked.select(*keys, F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e")).select(*keys, "e.*")
     return _spread(ranked, settle(both, "edges"), keys).select(*keys, "umi", "n", F.col("label.u").alias("cluster"))
 
 
