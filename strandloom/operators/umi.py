@@ -110,6 +110,32 @@ def _spread(labels: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFra
         drop_settled(step)
 
 
+def _merged(labels: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Labels (keys..., umi, n, label) after every node has taken the least label of its component over ``edges``, which stand in both directions.
+
+    In a round every edge offers the label of its source to the node that its
+    target is labelled with, so that whole trees are hooked at once; then each
+    node takes its label's own label. Rounds grow as the logarithm of the longest
+    chain.
+    """
+    now = settle(labels, "labels")
+    while True:
+        same = [F.col(k).eqNullSafe(F.col(f"{k}__s")) for k in keys]
+        sources = edges.join(_lookup(now, keys), [*same, F.col("src") == F.col("name__s")]).groupBy(*keys, "dst").agg(F.min("label__s").alias("offer"))
+        offers = sources.join(_lookup(now, keys), [*same, F.col("dst") == F.col("name__s")]).where(F.col("offer") < F.col("label__s"))
+        offers = offers.groupBy(*keys, F.col("label__s.u").alias("root")).agg(F.min("offer").alias("offer"))
+        offers = settle(offers.select(*[F.col(k).alias(f"{k}__o") for k in keys], "root", "offer"), "offers")
+        if offers.isEmpty():
+            drop_settled(offers)
+            return now
+        match = [F.col(k).eqNullSafe(F.col(f"{k}__o")) for k in keys]
+        hooked = now.join(offers, [*match, F.col("umi") == F.col("root")], "left")
+        hooked = settle(hooked.select(*keys, "umi", "n", F.least("label", "offer").alias("label")), "labels")
+        jumped = hooked.join(_lookup(hooked, keys), [*same, F.col("label.u") == F.col("name__s")])
+        before, now = now, settle(jumped.select(*keys, "umi", "n", F.least("label", "label__s").alias("label")), "labels")
+        drop_settled(before, offers, hooked)
+
+
 def _lookup(labels: DataFrame, keys: Sequence[str]) -> DataFrame:
     return labels.select(*[F.col(k).alias(f"{k}__s") for k in keys], F.col("umi").alias("name__s"), F.col("label").alias("label__s"))
 
@@ -177,7 +203,7 @@ def adjacency_clusters(counts: DataFrame, keys: Sequence[str], threshold: int =
     candidates = _one_edit_pairs(nodes, keys) if threshold == 1 else _slice_pairs(nodes, keys, threshold)
     linked = candidates.distinct().where(F.levenshtein("a", "b", threshold) >= 0)
     both = linked.select(*keys, F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e")).select(*keys, "e.*")
-    return _spread(ranked, settle(both, "edges"), keys).select(*keys, "umi", "n", F.col("label.u").alias("cluster"))
+    return _merged(ranked, settle(both, "edges"), keys).select(*keys, "umi", "n", F.col("label.u").alias("cluster"))
 
 
 def deduplicated(fragments: DataFrame, keys: Sequence[str], umi: str, *, threshold: int = 1, method: str = "directional") -> DataFrame:
