@@ -3,6 +3,8 @@
 from datetime import datetime
 from itertools import product
 
+import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from strandloom.operators import kmers
@@ -98,3 +100,36 @@ def test_size_factors_of_libraries_over_genes(spark, tmp_path):
     sf = fragments(spark, tmp_path, [(i, lib, "chr1", a, a + 20, "+", "A") for i, (lib, a) in enumerate(places)])
     assert {r.sample: r.size_factor for r in sequencing.QUERIES["size_factors_genes"](spark, sf).collect()} == {1: 0.5, 5: 2.0}
     assert {(r.gene, r.sample, r.n) for r in sequencing.QUERIES["normalized_counts_genes"](spark, sf).collect()} == {("chr1:100-200", 1, 1), ("chr1:100-200", 5, 4), ("chr1:500-600", 1, 1), ("chr1:500-600", 5, 4)}
+
+
+def test_pairs_are_compared_as_longs_whatever_their_letters(spark):
+    for length, letters in ((20, "ACGTN"), (64, "AC"), (65, "acgtACGT"), (130, "ACGTéЖ😀-"), (400, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")):
+        rows = [(i, "".join(letters[(i * i + j * (i + 1) + j // 3) % len(letters)] for j in range(length))) for i in range(7)] + [(7, None), (None, letters[0] * length)]
+        df = spark.createDataFrame(rows, "seq_id long, seq string")
+        got = kmers.pair_distances(df.where("seq_id % 2 = 1"), df, blocks=3).collect()
+        want = [(a, b, None if s is None or t is None else sum(x != y for x, y in zip(s, t))) for a, s in rows if a and a % 2 for b, t in rows]
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    for seq in ("", "A", None):
+        one = spark.createDataFrame([(1, seq)], "seq_id long, seq string")
+        assert [tuple(r) for r in kmers.pair_matrix(one).collect()] == [(1, 1, None if seq is None else 0)]
+    none = spark.createDataFrame([], "seq_id long, seq string")
+    assert kmers.pair_matrix(none).collect() == []
+    with pytest.raises(PySparkException):
+        kmers.pair_matrix(spark.createDataFrame([(1, "AC"), (2, "ACG")], "seq_id long, seq string")).collect()
+
+
+def test_pairs_in_several_lists_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(kmers, "LIST_ROWS", 4)
+    monkeypatch.setattr(kmers, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(kmers, "TASK_PAIRS", 100)
+    df = spark.range(103).select(F.col("id").alias("seq_id"), F.lpad(F.col("id").cast("string"), 3, "0").alias("seq"))
+    got = kmers.pair_distances(df.where("seq_id < 61"), df, blocks=2).collect()
+    assert sorted(map(tuple, got)) == [(a, b, sum(x != y for x, y in zip(f"{a:03}", f"{b:03}"))) for a in range(61) for b in range(103)]
+
+
+def test_pair_distances_do_not_split_texts_for_each_pair(spark, tmp_path):
+    rows = [(i, 1, "ACGTNACGTNACGTNACGT" + "ACGT"[i % 4], 1) for i in range(1, 101)]
+    df = sequencing.QUERIES["umi_pairwise_hamming"](spark, barcode_sets(spark, tmp_path, rows))
+    top = df._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "bit_count" in top and "split(" not in top and "zip_with" not in top
+    assert df.where("distance > 1").count() == 0 and df.count() == 200
